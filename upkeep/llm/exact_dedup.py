@@ -21,9 +21,15 @@ from upkeep.llm import scratch
 BLOCK_BYTES = 1 << 14
 
 
-def _numbered(distinct: DataFrame, by: list[str]) -> DataFrame:
-    """Add ``name``: a number that rises with the sorted rows. ``by`` must tell rows apart."""
-    return distinct.orderBy(*by).withColumn("name", F.monotonically_increasing_id())
+def _numbered(distinct: DataFrame, by: list[str], ranges: list[Column] | None = None) -> DataFrame:
+    """Add ``name``: a number that rises with the sorted rows. ``by`` must tell rows apart.
+
+    ``ranges`` are short keys to range-partition by, so that the sample of keys that the
+    driver sees stays small; rows are sorted by these keys and then by ``by``.
+    """
+    keys = ranges or [F.col(c) for c in by]
+    spread = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys, *by)
+    return spread.withColumn("name", F.monotonically_increasing_id())
 
 
 def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -42,7 +48,8 @@ def block_names(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         ).alias("at", "block"),
     )
     cut = scratch.table(cut, "blocks")
-    names = scratch.table(_numbered(cut.select("block").distinct(), ["block"]), "block-names")
+    short = [F.substring("block", 1, 16), F.xxhash64("block")]
+    names = scratch.table(_numbered(cut.select("block").distinct(), ["block"], short), "block-names")
     level = scratch.table(cut.join(names, "block").select("row_id", "n_blocks", "at", "name"), "level")
     most = level.agg(F.max("n_blocks")).first()[0] or 1
     done, width = level.where("n_blocks = 1").select("row_id", "n_blocks", "name"), 1

@@ -233,6 +233,29 @@ def find_contamination(
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", segment: int = SEGMENT, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns, without the rows that hold text of a benchmark item.
+
+    What counts is as in ``find_contamination``. Rows are judged where they are read, so
+    nothing is joined or shuffled. Null and empty texts stay.
+    """
+    spark = docs.sparkSession
+    scratch.small_batches(spark)
+    at = docs.columns.index(text_col)
+    for items in _blocks(benchmark, block_bytes):
+        index = spark.sparkContext.broadcast(build(items, segment, rate))
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows)), b.column(at)], names=["doc_id", "text"])
+                clean = np.ones(b.num_rows, bool)
+                clean[_rows(numbered, index.value)["doc_id"].to_numpy()] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of about ``block_bytes``; the driver holds one block at a time."""
     block, size = [], 0

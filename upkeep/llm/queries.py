@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.llm import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, toxicity, warc
+from upkeep.llm import chaining, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.find_repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}

@@ -8,28 +8,36 @@ from pyspark.sql import functions as F
 from upkeep.functions import rules as R
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def first_match(text: Column, table: list[tuple], default=None) -> Column:
     """Value of the first keyword of ``table`` that ``text`` contains; text is taken as it is."""
-    out = None
-    for word, value in table:
-        value = value if isinstance(value, Column) else F.lit(value)
-        out = F.when(F.contains(text, F.lit(word)), value) if out is None else out.when(F.contains(text, F.lit(word)), value)
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+    def chain(t: Column) -> Column:
+        out = None
+        for word, value in table:
+            out = F.when(F.contains(t, F.lit(word)), value) if out is None else out.when(F.contains(t, F.lit(word)), value)
+        return out
+
+    found = let(text, chain)
+    return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def any_match(text: Column, words: list[str]) -> Column:
     """Whether ``text`` contains one of ``words``; no words match nothing."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+    def chain(t: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            out = out | F.contains(t, F.lit(w))
+        return out
+
+    return let(text, chain)
 
 
 def count_matches(text: Column, words: list[str]) -> Column:
-    out = F.lit(0)
-    for w in words:
-        out = out + F.contains(text, F.lit(w)).cast("int")
-    return out
+    return let(text, lambda t: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)))
 
 
 def _digits(text: Column, pattern: str) -> Column:
@@ -39,24 +47,32 @@ def _digits(text: Column, pattern: str) -> Column:
 
 def detect_interval(text: Column) -> Column:
     """Hours that a text names: a calendar word, else years, else a number of hours; null if none."""
-    years = F.nullif(F.regexp_extract(text, r"(?i)(\d+)\s*[-–]?\s*years?", 1), F.lit("")).try_cast("int") * R.HOURS_PER_YEAR
-    hours = _digits(text, r"(?iu)(\d{1,6}[,.]?\d{0,3})\s*(?:operating\s+)?(?:hours?|hrs?|h\b|betriebsstunden|stunden)")
-    return first_match(F.lower(text), R.INTERVAL_WORDS, F.coalesce(years, hours))
+    def find(t: Column) -> Column:
+        years = F.nullif(F.regexp_extract(t, r"(?i)(\d+)\s*[-–]?\s*years?", 1), F.lit("")).try_cast("int") * R.HOURS_PER_YEAR
+        hours = _digits(t, r"(?iu)(\d{1,6}[,.]?\d{0,3})\s*(?:operating\s+)?(?:hours?|hrs?|h\b|betriebsstunden|stunden)")
+        return F.coalesce(first_match(F.lower(t), R.INTERVAL_WORDS), years, hours)
+
+    return let(text, find)
 
 
 def _nearest(hours: Column, valid: list[int]) -> Column:
-    gaps = F.transform(F.array(*map(F.lit, valid)), lambda v: F.struct(F.abs(v - hours).alias("gap"), v.alias("v")))
-    return F.array_min(gaps)["v"]
+    """Nearest of a sorted list by its midpoints; of two equally near the smaller."""
+    out = F.when(hours.isNull(), F.lit(None).cast("int"))
+    for low, high in zip(valid, valid[1:], strict=False):
+        out = out.when(hours * 2 <= low + high, low)
+    return out.otherwise(valid[-1])
 
 
 def snap_interval(hours: Column) -> Column:
     """Nearest valid interval if it is less than a fifth away, else the hours as they are; of two equally near the smaller."""
-    near = _nearest(hours, R.VALID_INTERVALS)
-    return F.when(F.abs(near - hours) * 5 < F.greatest(hours, F.lit(1)), near).otherwise(hours)
+    def snap(h: Column) -> Column:
+        return let(_nearest(h, R.VALID_INTERVALS), lambda near: F.when(F.abs(near - h) * 5 < F.greatest(h, F.lit(1)), near).otherwise(h))
+
+    return let(hours, snap)
 
 
 def snap_interval_strict(hours: Column) -> Column:
-    return _nearest(hours, R.STRICT_INTERVALS)
+    return let(hours, lambda h: _nearest(h, R.STRICT_INTERVALS))
 
 
 def is_valid_interval(hours: Column) -> Column:
@@ -92,6 +108,10 @@ def strip(text: Column) -> Column:
 
 def build_task(area: Column, action: Column, text: Column, interval: Column, part: Column | None = None) -> Column:
     """A task as a struct: upper-case text with single blanks cut to 250, state and safety from its words."""
+    return let(text, lambda t: _task(area, action, t, interval, part))
+
+
+def _task(area: Column, action: Column, text: Column, interval: Column, part: Column | None) -> Column:
     clean = F.substring(strip(F.regexp_replace(F.upper(text), r"(?U)\s+", " ")), 1, 250)
     number = F.nullif(part, F.lit("")) if part is not None else F.lit(None).cast("string")
     return F.struct(
@@ -102,10 +122,14 @@ def build_task(area: Column, action: Column, text: Column, interval: Column, par
 
 def content_type(text: Column, heading: Column, chunk_type: Column) -> Column:
     head = F.lower(F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), F.substring(text, 1, 400)))
-    out = F.when(chunk_type == "table_row", "table")
-    for name, words in R.CONTENT_TYPES:
-        out = out.when(any_match(head, words), name)
-    return out.otherwise("procedure")
+
+    def chain(h: Column) -> Column:
+        out = F.when(chunk_type == "table_row", "table")
+        for name, words in R.CONTENT_TYPES:
+            out = out.when(any_match(h, words), name)
+        return out.otherwise("procedure")
+
+    return let(head, chain)
 
 
 def is_heading(line: Column) -> Column:

@@ -114,6 +114,11 @@ SECTION_PATTERN = r"(\d{1,6}[,.]?\d{0,3})\s*[-–]?\s*(?:hour|hr|h)\s*(?:prevent
 BULLET_PATTERN = r"(?:^|\n)\s*(?:[•–\-\*]|\d{1,2}[\.\)])\s*(.{10,200}?)(?=\n|\z|$)"
 
 
+def _hit(unit: int):
+    """A match as its interval and task."""
+    return lambda x: F.struct(S.snap_interval(F.regexp_replace(x["n"], "[,.]", "").try_cast("int") * unit).alias("iv"), S.strip(x["t"]).alias("t"))
+
+
 def text_pattern_tasks(pages: DataFrame) -> DataFrame:
     """Tasks that running text names with their interval, and bullets under the last interval named, over pages in order."""
     rows = pm_candidate_pages(pages).select("manual_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
@@ -122,8 +127,7 @@ def text_pattern_tasks(pages: DataFrame) -> DataFrame:
     for k, (pattern, unit) in enumerate(TEXT_PATTERNS, 1):
         multi = "(?iudm)" if k == 2 else flags
         group = lambda g, p=multi + pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
-        hits = F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("t")), lambda x, u=unit: F.struct(
-            S.snap_interval(F.regexp_replace(x["n"], "[,.]", "").try_cast("int") * u).alias("iv"), S.strip(x["t"]).alias("t")))
+        hits = F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("t")), _hit(unit))
         hits = F.filter(hits, lambda x: x["iv"].isNotNull())
         if k < 5:
             hits = F.filter(hits, lambda x: S.is_valid_interval(x["iv"]))

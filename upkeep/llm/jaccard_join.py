@@ -62,9 +62,18 @@ def print_of(s: np.ndarray) -> int:
     return int(wd.mix(x[:1] + np.uint64(3) * x[1:]).view(np.int64)[0])
 
 
+def sure_overlap(size: int) -> int:
+    """How many n-grams of the prefixes two linking sets are sure to share, as set by the smaller one of this size."""
+    return 1 + size // 20
+
+
 def prefix_size(size: int, percent: int = PERCENT) -> int:
-    """How many of its n-grams a set must show: it can't lose that many to a set that it links with."""
-    return size - -(-percent * size // 100) + 1
+    """How many of its rarest n-grams a set must show.
+
+    A set of this size shares all but ``size - ceil(size * percent / 100)`` with one that it links with. Shown
+    that many and k more, both show k of the shared ones at least, k being that of the smaller set.
+    """
+    return min(size, size - -(-percent * size // 100) + sure_overlap(size))
 
 
 class Unions:
@@ -177,16 +186,18 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     known = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = known.value
+        count, done = known.value, set()
         for b in batches:
             gram, size, fp, times = [], [], [], []
             for s in sets_of(b.column(1), n):
-                if len(s):
+                mark = print_of(s)
+                if len(s) and (len(s), mark) not in done:  # copies inside a task show their n-grams once
+                    done.add((len(s), mark))
                     k = prefix_size(len(s), percent)
                     order = (count[s >> np.uint64(48)] << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF))
                     gram.append(s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s)
                     size.append(len(s))
-                    fp.append(print_of(s))
+                    fp.append(mark)
                     times.append(k)
             if gram:
                 columns = [np.concatenate(gram).view(np.int64), np.repeat(np.array(size, np.int32), times), np.repeat(np.array(fp, np.int64), times)]
@@ -217,11 +228,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = scratch.table(
         rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("size", "fp").agg(F.min("doc_id").alias("rep")), "set-nodes"
     )
-    grams = _prefixes(src, n, percent, counts).groupBy("gram", "size", "fp").agg(F.lit(1).alias("one")).select("gram", F.struct("size", "fp").alias("x"))
+    grams = _prefixes(src, n, percent, counts).repartition("gram").groupBy("gram", "size", "fp").agg(F.lit(1).alias("one"))
     # of the sets that show a gram, the one with the smallest print is its pivot
-    elected = grams.groupBy("gram").agg(F.min(F.struct("x.fp", "x.size")).alias("p"), F.count("*").alias("c")).where("c > 1").select("gram", "p")
-    seen = grams.join(elected, "gram").select("p", "x").distinct()
-    seen = scratch.table(seen.select(F.col("p.size").alias("p_size"), F.col("p.fp").alias("p_fp"), "x.size", "x.fp"), "regions")
+    elected = grams.groupBy("gram").agg(F.min(F.struct("fp", "size")).alias("p"), F.count("*").alias("c")).where("c > 1").select("gram", "p")
+    seen = grams.join(elected, "gram").groupBy(F.col("p.size").alias("p_size"), F.col("p.fp").alias("p_fp"), "size", "fp").agg(F.count("*").alias("shared"))
+    seen = scratch.table(seen, "regions")
+    # a set that shares fewer of its n-grams than a link makes sure of links with nothing
+    least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / 20)
+    linkable = seen.groupBy("size", "fp").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("size", "fp")
+    seen = seen.join(linkable, ["size", "fp"]).drop("shared")
     # every member gets the id that stands for its set, and the region's number of blocks
     large = seen.groupBy("p_size", "p_fp").agg(F.count("*").alias("m"), F.sum("size").alias("g")).where("m > 1")
     members = seen.join(large, ["p_size", "p_fp"]).join(nodes, ["size", "fp"])

@@ -32,10 +32,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and return the table as read back."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # shuffle files of what has been written go once the driver collects its garbage; a large heap may not for long
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from upkeep.llm import scratch
 from upkeep.llm import words as wd
@@ -27,9 +28,9 @@ K = 32
 #: Positions of an anchor in a string of LENGTH bytes, less one: so many bytes on either side matter.
 SIDE = LENGTH - K
 #: An anchor with more different surroundings than this is compared window by window, spread over tasks.
-LIMIT = 4_000
-#: Places that may be broadcast to cut out their surroundings (32 MB); beyond it, a shuffled join does.
-BROADCAST_PLACES = 2_000_000
+LIMIT = 40_000
+#: Places that may be broadcast to cut out their surroundings (100 MB); beyond it, a shuffled join does.
+BROADCAST_PLACES = 4_000_000
 #: Anchors that a task looks at together to settle repeats among them.
 CHUNK = 500_000
 
@@ -257,26 +258,27 @@ def _anchors(src: DataFrame) -> DataFrame:
 
 
 def _surroundings(src: DataFrame, places: DataFrame) -> DataFrame:
-    """The bytes on both sides of each place: ``anchor, row, pos, before (reversed), after``."""
-    per_row = places.groupBy("row").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))  # bounded by the text's length
+    """The bytes on both sides of each place: ``anchor, kinds, row, pos, before (reversed), after``."""
+    per_row = places.groupBy("row").agg(F.collect_list(F.struct("anchor", "kinds", "pos")).alias("at"))  # bounded by the text's length
     few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    asked = src.join(F.broadcast(per_row) if few else per_row, "row").select("row", "text", F.col("at.anchor").alias("anchor"), F.col("at.pos").alias("pos"))
+    asked = src.join(F.broadcast(per_row) if few else per_row, "row").select("row", "text", F.col("at.anchor").alias("anchor"), F.col("at.kinds").alias("kinds"), F.col("at.pos").alias("pos"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, anchor, pos, before, after = [], [], [], [], []
+            row, anchor, kinds, pos, before, after = [], [], [], [], [], []
             flat, at = wd.buffers(b["text"])
             for i in range(b.num_rows):
                 x = flat[at[i] : at[i + 1]].tobytes()
-                for a, p in zip(b["anchor"][i].values.to_pylist(), b["pos"][i].values.to_pylist(), strict=True):
+                for a, k, p in zip(b["anchor"][i].values.to_pylist(), b["kinds"][i].values.to_pylist(), b["pos"][i].values.to_pylist(), strict=True):
                     row.append(b["row"][i].as_py())
                     anchor.append(a)
+                    kinds.append(k)
                     pos.append(p)
                     before.append(x[max(0, p - SIDE) : p][::-1])
                     after.append(x[p + K : p + LENGTH])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["anchor", "row", "pos", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(kinds, pa.int64()), pa.array(row, pa.int64()), pa.array(pos, pa.int32()), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["anchor", "kinds", "row", "pos", "before", "after"])
 
-    return asked.mapInArrow(run, "anchor long, row long, pos int, before binary, after binary")
+    return asked.mapInArrow(run, "anchor long, kinds long, row long, pos int, before binary, after binary")
 
 
 def _by_suffix_array(groups: DataFrame) -> DataFrame:
@@ -320,6 +322,23 @@ def _by_windows(places: DataFrame) -> DataFrame:
     return again.groupBy("row", "pos").agg(F.collect_list("r").alias("rs")).select("row", F.explode(F.transform("rs", lambda r: F.struct((F.col("pos") - r).cast("int").alias("lo"), (F.col("pos") - r + LENGTH).cast("int").alias("hi")))).alias("s")).select("row", "s.*")
 
 
+def _shared(found: DataFrame) -> DataFrame:
+    """Occurrences of anchors that occur twice: ``anchor, kinds, row, pos``.
+
+    The first in each kind of surroundings has the anchor and its number of kinds, where that is two
+    or more; later ones have neither. One shuffle and one sort serve both windows; an anchor has at
+    most a row for each kind and chunk of a task, and a window keeps what exceeds memory on disk.
+    """
+    spread = found.where("lo IS NULL").select("anchor", "around", "row", "pos").repartition("anchor")
+    kind = W.partitionBy("anchor", "around").orderBy("row", "pos")
+    rows = spread.withColumn("first", F.row_number().over(kind) == 1)
+    whole = W.partitionBy("anchor")
+    rows = rows.withColumns({"kinds": F.count(F.when(F.col("first"), 1)).over(whole)})
+    rows = rows.where(~F.col("first") | (F.col("kinds") > 1))
+    rows = rows.select(F.when(F.col("first"), F.col("anchor")).alias("anchor"), F.when(F.col("first"), F.col("kinds")).alias("kinds"), "row", "pos")
+    return scratch.table(rows, "shared")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_text: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and the remaining bytes ``kept`` with ``with_text``.
 
@@ -336,18 +355,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         src = src.withColumn("row", F.col("doc_id").cast("bigint"))
     else:
         src = scratch.table(src.orderBy(F.col("doc_id").asc_nulls_last(), "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    found = scratch.table(_anchors(src.select("row", "text")), "anchors")
-    spread = found.where("lo IS NULL").select("anchor", "around", "row", "pos").repartition("anchor")
-    firsts = spread.groupBy("anchor", "around").agg(F.min(F.struct("row", "pos")).alias("first"), F.count("*").alias("c"))
-    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("c").alias("all")).where("all > 1").select("anchor", "kinds")
-    shared = spread.join(firsts.join(kinds, "anchor"), ["anchor", "around"])
-    shared = shared.select("anchor", "kinds", "row", "pos", (F.struct("row", "pos") == F.col("first")).alias("is_first"))
-    shared = scratch.table(shared.where("NOT is_first OR kinds > 1"), "shared")
+    found = _anchors(src.select("row", "text"))
+    shared = _shared(found)
     # a later occurrence in equal surroundings repeats all of them, as far as its text goes
-    same = shared.where("NOT is_first").select("row", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
-    places = _surroundings(src.select("row", "text"), shared.where("is_first").select("anchor", "row", "pos"))
-    kinds = shared.where("is_first").groupBy("anchor").agg(F.count("*").alias("k"))
-    places = scratch.table(places.join(kinds, "anchor"), "surroundings")
+    same = shared.where("kinds IS NULL").select("row", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
+    places = _surroundings(src.select("row", "text"), shared.where("kinds IS NOT NULL").select("anchor", "kinds", "row", "pos"))
+    places = scratch.table(places.withColumnRenamed("kinds", "k"), "surroundings")
     grouped = places.where(F.col("k") <= limit).groupBy("anchor").agg(F.collect_list(F.struct("row", "pos", "before", "after")).alias("items")).select("items")
     spans = same.unionByName(found.where("lo IS NOT NULL").select("row", "lo", "hi")).unionByName(_by_suffix_array(grouped)).unionByName(_by_windows(places.where(F.col("k") > limit).drop("k")))
     per_row = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the text's length

@@ -1,4 +1,4 @@
-"""Toxicity by cumulative-link ordinal regression on sparse word features.
+"""Toxicity by cumulative-link ordinal regression on sparse features of words and their beginnings.
 
 Severity grades are ordered: 0 not toxic, 1 toxic, 2 toxic and of low quality. One weight
 per word is shared by all thresholds, ``P(grade > k) = sigmoid(x w - t_k)``, and the
@@ -20,6 +20,8 @@ from upkeep.llm import words as wd
 
 #: At most so many labelled documents of each of the two sides (toxic or not) are fitted on.
 SAMPLE = 4_000
+#: Lengths of word beginnings in bytes.
+STEMS = (4, 5, 6, 7, 8)
 
 
 def severity(toxic: Column, quality: Column) -> Column:
@@ -38,18 +40,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 2e-4, rounds: int = 400, least: int = 3) -> Model:
-    """Accelerated proximal gradient on the cumulative-link likelihood."""
+def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, penalty: float = 1e-3, rounds: int = 150, least: int = 5) -> Model:
+    """Accelerated proximal gradient on the cumulative-link likelihood; features are hashes and values of each text."""
     n, n_grades = len(grades), int(max(grades.max(initial=0), 1))
-    flat = np.concatenate(features) if n else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(n), [len(x) for x in features])
+    flat = np.concatenate([f for f, _ in features]) if n else np.zeros(0, np.uint64)
+    value = np.concatenate([v for _, v in features]) if n else np.zeros(0)
+    row = np.repeat(np.arange(n), [len(f) for f, _ in features])
     vocab, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     keep = df >= min(least, max(1, n // 50))
     used = keep[column]
     number = np.cumsum(keep) - 1
-    row, column, vocab = row[used], number[column[used]], vocab[keep]
-    scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n) / 50))  # long texts have more words by chance
-    value = scale[row]
+    row, column, vocab, value = row[used], number[column[used]], vocab[keep], value[used]
     w, t = np.zeros(len(vocab)), np.arange(n_grades, dtype=float) + 1.0
     w_old, t_old, step = w.copy(), t.copy(), 4.0
     above = grades[:, None] > np.arange(n_grades)[None, :]
@@ -78,13 +79,28 @@ def fit(features: list[np.ndarray], grades: np.ndarray, penalty: float = 2e-4, r
     return Model(vocab[w != 0], w[w != 0], t)
 
 
-def _features(column: pa.Array) -> Iterator[np.ndarray]:
-    """Distinct word hashes of every text, trailing punctuation left off."""
+def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the distinct words and word beginnings of every text, and their weights.
+
+    Beginnings stand for stems, which endings hide in many languages. A weight grows with
+    the logarithm of the count and falls with the square root of the text's words.
+    """
     flat, at = wd.buffers(column)
     for i, j in wd.slices(at):
-        h, _, _, by_text = wd.words(flat[at[i] : at[j]], at[i : j + 1] - at[i], wd._LETTER_OR_DIGIT)
+        part = flat[at[i] : at[j]]
+        h, start, end, by_text = wd.words(part, at[i : j + 1] - at[i], wd._LETTER_OR_DIGIT)
+        low = wd._LOWER[part]
+        parts, rows = [h], [np.arange(len(h))]
+        for k, n in enumerate(STEMS):
+            long_ = np.flatnonzero(end - start > n)
+            parts.append(wd.spans(low, start[long_], start[long_] + n) ^ np.uint64(0xA5A5 << (k + 1)))
+            rows.append(long_)
+        order = np.argsort(np.concatenate(rows), kind="stable")
+        every, place = np.concatenate(parts)[order], np.concatenate(rows)[order]
+        cut = np.searchsorted(place, by_text)
         for r in range(j - i):
-            yield np.unique(h[by_text[r] : by_text[r + 1]])
+            x, times = np.unique(every[cut[r] : cut[r + 1]], return_counts=True)
+            yield x, np.log2(1 + times) / np.sqrt(max(1, (by_text[r + 1] - by_text[r]) / 50))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -104,15 +120,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = pa.array([f.view(np.int64) for f in _features(b.column(1))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), x], names=["grade", "x"])
+            f = list(_features(b.column(1)))
+            x, v = pa.array([a.view(np.int64) for a, _ in f], pa.list_(pa.int64())), pa.array([a for _, a in f], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), x, v], names=["grade", "x", "v"])
 
-    got = picked.mapInArrow(hashed, "grade int, x array<bigint>").toArrow()
+    got = picked.mapInArrow(hashed, "grade int, x array<bigint>, v array<double>").toArrow()
     grades = got["grade"].to_numpy()
     if not (len(grades) and grades.min() == 0 and grades.max() > 0):
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0]))
     order = sorted(range(len(grades)), key=lambda i: (grades[i], got["x"][i].values.to_numpy().tobytes()))
-    return fit([got["x"][i].values.to_numpy().view(np.uint64) for i in order], grades[order])
+    return fit([(got["x"][i].values.to_numpy().view(np.uint64), got["v"][i].values.to_numpy()) for i in order], grades[order])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
@@ -131,11 +148,11 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         m = known.value
         for b in batches:
             score = np.zeros(b.num_rows)
-            for i, x in enumerate(_features(b.column(1))):
+            for i, (x, v) in enumerate(_features(b.column(1))):
                 if len(m.features) and len(x):
                     at = np.minimum(np.searchsorted(m.features, x), len(m.features) - 1)
                     hit = m.features[at] == x
-                    score[i] = m.weights[at[hit]].sum() / np.sqrt(max(1, len(x) / 50))
+                    score[i] = m.weights[at[hit]] @ v[hit]
             p = m.grades(score)
             out = [b.column(0), pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(1).astype(np.int32)), pa.array(p[:, 0] >= cut)]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "expected_severity", "p_toxic", "grade", "toxic"])

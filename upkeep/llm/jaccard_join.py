@@ -35,6 +35,8 @@ BUCKETS = 1 << 16
 REGION = 2_000
 #: The same for a region's n-grams in total (16 MB of hashes).
 REGION_GRAMS = 2_000_000
+#: How often sets that can't link are looked for; more rounds leave fewer in regions, and none changes the result.
+ROUNDS = 2
 #: Ids that may be broadcast to pick out texts (16 MB); beyond it, a shuffled join does.
 BROADCAST_IDS = 2_000_000
 
@@ -206,6 +208,16 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Data
     return docs.mapInArrow(run, "gram long, size int, fp long")
 
 
+def _elected(shown: DataFrame) -> DataFrame:
+    """Rows of n-grams that two sets show or more, with the pivot: of the sets that show one, that with the smallest print.
+
+    ``shown`` is dealt by n-gram already, so nothing is shuffled.
+    """
+    pivot = shown.groupBy("gram").agg(F.min(F.struct("fp", "size")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    pivot = pivot.select("gram", F.col("p.size").alias("p_size"), F.col("p.fp").alias("p_fp"))
+    return shown.join(pivot, "gram")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -228,15 +240,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = scratch.table(
         rows.where("size > 0 AND doc_id IS NOT NULL").groupBy("size", "fp").agg(F.min("doc_id").alias("rep")), "set-nodes"
     )
-    grams = _prefixes(src, n, percent, counts).repartition("gram").groupBy("gram", "size", "fp").agg(F.lit(1).alias("one"))
-    # of the sets that show a gram, the one with the smallest print is its pivot
-    elected = grams.groupBy("gram").agg(F.min(F.struct("fp", "size")).alias("p"), F.count("*").alias("c")).where("c > 1").select("gram", "p")
-    seen = grams.join(elected, "gram").groupBy(F.col("p.size").alias("p_size"), F.col("p.fp").alias("p_fp"), "size", "fp").agg(F.count("*").alias("shared"))
-    seen = scratch.table(seen, "regions")
-    # a set that shares fewer of its n-grams than a link makes sure of links with nothing
+    shown = _prefixes(src, n, percent, counts).repartition("gram").groupBy("gram", "size", "fp").agg(F.lit(1).alias("one"))
+    # a set that shares fewer of its n-grams than a link makes sure of links with nothing; without it, others may share too few
     least = 1 + F.floor(F.ceil(F.col("size") * percent / 100) / 20)
-    linkable = seen.groupBy("size", "fp").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least).select("size", "fp")
-    seen = seen.join(linkable, ["size", "fp"]).drop("shared")
+    for _ in range(ROUNDS):
+        shown = scratch.table(_elected(shown).select("gram", "size", "fp"), "shown")
+        linkable = shown.groupBy("size", "fp").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("size", "fp")
+        shown = shown.join(linkable, ["size", "fp"], "left_semi").repartition("gram")
+    seen = scratch.table(_elected(shown).select("p_size", "p_fp", "size", "fp").distinct(), "regions")
     # every member gets the id that stands for its set, and the region's number of blocks
     large = seen.groupBy("p_size", "p_fp").agg(F.count("*").alias("m"), F.sum("size").alias("g")).where("m > 1")
     members = seen.join(large, ["p_size", "p_fp"]).join(nodes, ["size", "fp"])

@@ -12,6 +12,7 @@ equal windows together; of each group the earliest stays and the others are repe
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,11 +125,15 @@ def common_prefixes(s: list[int], sa: list[int]) -> list[int]:
     return out
 
 
-def _classes(sides: list[bytes]) -> tuple[list[int], list[list[int]]]:
-    """Depths at which two of the strings part, rising, and for each depth the class of every string up to it."""
+def _classes(sides: list[bytes]) -> tuple[list[int], list[list[int]], list[int]]:
+    """Depths at which two of the strings part, rising; for each depth the class of every string up to it; and how deep each shares with any other."""
     order = sorted(range(len(sides)), key=sides.__getitem__)
     as_int = [int.from_bytes(x, "big") for x in sides]
     shared = [SIDE - ((as_int[a] ^ as_int[b]).bit_length() + 7) // 8 for a, b in zip(order, order[1:], strict=False)]
+    most = [0] * len(sides)
+    for k, depth in enumerate(shared):
+        for j in order[k : k + 2]:
+            most[j] = max(most[j], depth)
     depths, out = sorted(set(shared)), []
     for depth in depths:
         ids, k = [0] * len(sides), 0
@@ -137,61 +142,63 @@ def _classes(sides: list[bytes]) -> tuple[list[int], list[list[int]]]:
                 k += 1
             ids[j] = k
         out.append(ids)
-    return depths, out
+    return depths, out, most
 
 
 def repeated_windows(left: list[bytes], right: list[bytes], n_left: list[int], n_right: list[int]) -> list[list[tuple[int, int]]]:
     """For surroundings of one anchor, in order of occurrence: runs of windows (bytes taken on the left, both ends in) that an earlier one has too.
 
     ``left`` is reversed, and both sides are padded to SIDE; ``n_left`` and ``n_right`` are their real lengths.
+    Each side is a letter for every depth at which any two part, as far as it shares with any other.
     """
     d = len(left)
-    ldepth, lid = _classes(left)
-    rdepth, rid = _classes(right)
+    ldepth, lid, lmost = _classes(left)
+    rdepth, rid, rmost = _classes(right)
     out: list[list[tuple[int, int]]] = [[] for _ in range(d)]
-    lpos = {c: len(ldepth) - 1 - k for k, c in enumerate(ldepth)}
-    rpos = {c: len(ldepth) + 1 + k for k, c in enumerate(rdepth)}
     # windows with r bytes on the left fall into classes by the next depths that part anything
     spans: dict[tuple[int, int], list[int]] = {}
-    i = 0
     for r in range(SIDE + 1):
-        while i < len(ldepth) and ldepth[i] < r:
-            i += 1
-        if i == len(ldepth):
-            break
-        b = next((c for c in rdepth if c >= SIDE - r), None)
-        if b is not None:
-            spans.setdefault((ldepth[i], b), []).append(r)
+        a, b = bisect_left(ldepth, r), bisect_left(rdepth, SIDE - r)
+        if a < len(ldepth) and b < len(rdepth):
+            spans.setdefault((a, b), []).append(r)
     if not spans:
         return out
-    width = len(ldepth) + len(rdepth) + 2
-    base = 2 + d
-    s: list[int] = []
+    base, s, owner, bound = 2, [], [], []
     for k in range(d):
-        s += [base + lid[x][k] for x in range(len(ldepth) - 1, -1, -1)]
+        n, m = bisect_right(ldepth, lmost[k]), bisect_right(rdepth, rmost[k])
+        s += [base + lid[x][k] for x in range(n - 1, -1, -1)]
         s.append(base + d)
-        s += [base + ids[k] for ids in rid]
+        s += [base + rid[x][k] for x in range(m)]
         s.append(1)
+        owner += [k] * (n + m + 2)
+        bound += [*range(n - 1, -1, -1), *[-1] * (m + 2)]
     s.append(0)
+    owner.append(-1)
+    bound.append(-1)
     sa = suffix_array(s)
     lcp = common_prefixes(s, sa)
-    starts = {lpos[a] for a, _ in spans}
-    run, lists = {p: 0 for p in starts}, {p: [] for p in starts}
-    for k, q in enumerate(sa):
-        for p in starts:
-            if lcp[k] < run[p]:
-                run[p] = lcp[k]
-        p = q % width
-        if p in starts and q < d * width:
-            lists[p].append((q // width, run[p]))
-            run[p] = 1 << 30
+    starts = {a for a, _ in spans}
+    run, lists = {a: 0 for a in starts}, {a: [] for a in starts}
+    for q, shared in zip(sa, lcp, strict=True):
+        for a in starts:
+            if shared < run[a]:
+                run[a] = shared
+        a = bound[q]
+        if a in starts:
+            lists[a].append((owner[q], run[a]))
+            run[a] = 1 << 30
     for (a, b), rs in spans.items():
-        p, need = lpos[a], rpos[b] - lpos[a] + 1
+        need, floor = a + b + 3, rdepth[b]
         groups: list[list[int]] = []
-        for k, shared in lists[p]:
-            if shared < need or not groups:
+        least = 0
+        for k, shared in lists[a]:
+            least = min(least, shared)
+            if rmost[k] < floor:
+                continue
+            if least < need or not groups:
                 groups.append([])
             groups[-1].append(k)
+            least = 1 << 30
         for g in groups:
             if len(g) < 2:
                 continue
@@ -202,8 +209,7 @@ def repeated_windows(left: list[bytes], right: list[bytes], n_left: list[int], n
                         out[k].append((rs[0], rs[-1]))
             else:  # next to the border of a text not all windows exist
                 for r in rs:
-                    valid = [k for k in g if n_left[k] >= r and n_right[k] >= SIDE - r]
-                    for k in valid[1:] if valid == sorted(valid) else sorted(valid)[1:]:
+                    for k in sorted(k for k in g if n_left[k] >= r and n_right[k] >= SIDE - r)[1:]:
                         out[k].append((r, r))
     return out
 
@@ -287,7 +293,8 @@ def _by_suffix_array(groups: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, los, his = [], [], []
-            for items in b.column(0).to_pylist():
+            for i in range(b.num_rows):
+                items = b.column(0)[i].as_py()
                 items.sort(key=lambda x: (x["row"], x["pos"]))
                 pad = lambda x: x.ljust(SIDE, b"\0")
                 left, right = [x["before"] for x in items], [x["after"] for x in items]

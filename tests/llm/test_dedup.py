@@ -169,3 +169,21 @@ def test_fuzzy_passages(spark):
 @pytest.mark.parametrize("f", [exact_dedup.exact_duplicates, jaccard_join.link_documents, suffix_dedup.remove_repeats, chaining.find_repeated_passages])
 def test_empty_table(spark, f):
     assert f(frame(spark, [], 1)).count() == 0
+
+
+@pytest.mark.parametrize("gap,other", [(13, 13), (30, 30), (40, 33), (20, 38)])
+def test_fuzzy_passages_of_one_pair_close_to_each_other(spark, gap, other):
+    r = random.Random(gap)
+    words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(5_000)]
+    fresh = lambda n: r.choices(words, k=n)
+    some = [fresh(80), fresh(52), fresh(60)]
+    join = lambda gap: " ".join(sum((fresh(gap) + p for p in some), []) + fresh(30))
+    got = chaining.find_repeated_passages(frame(spark, [(1, join(other)), (2, join(gap))])).collect()
+    at = 0
+    for p in some:
+        at += gap
+        assert any(g.start_word <= at + 2 and g.end_word >= at + len(p) - 2 for g in got), (at, got)
+        at += len(p)
+    assert all(g.similarity >= 0.8 and g.end_word - g.start_word >= 50 for g in got)
+    if gap >= 30:
+        assert len(got) == 3 and all(g.similarity > 0.9 for g in got)

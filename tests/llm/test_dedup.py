@@ -187,3 +187,20 @@ def test_fuzzy_passages_of_one_pair_close_to_each_other(spark, gap, other):
     assert all(g.similarity >= 0.8 and g.end_word - g.start_word >= 50 for g in got)
     if gap >= 30:
         assert len(got) == 3 and all(g.similarity > 0.9 for g in got)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_fuzzy_passages_down_to_the_similarity(spark, similarity):
+    r = random.Random(int(100 * similarity))
+    words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(5_000)]
+    fresh = lambda n: r.choices(words, k=n)
+    rows, n = [], 40
+    for i in range(n):
+        w = fresh(50 + 5 * (i % 5))
+        v, edits = list(w), int(len(w) * (1 - similarity) + 1e-9)
+        for k in sorted(r.sample(range(len(w)), edits) if i % 2 else [(k + 1) * len(w) // edits - 1 for k in range(edits)], reverse=True):
+            v[k : k + 1] = [] if i % 4 == 3 and edits > 1 and k % 3 == 0 else ["changed"]
+        rows += [(i, " ".join(fresh(60) + w + fresh(60))), (n + i, " ".join(fresh(70) + v + fresh(60)))]
+    got = {(g.doc_id, g.ref_doc_id): g for g in chaining.find_repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == {(n + i, i) for i in range(n)}
+    assert all(g.similarity >= 0.8 - 1e-9 and g.start_word < 90 and g.end_word > 100 for g in got.values())

@@ -204,3 +204,15 @@ def test_fuzzy_passages_down_to_the_similarity(spark, similarity):
     got = {(g.doc_id, g.ref_doc_id): g for g in chaining.find_repeated_passages(frame(spark, rows)).collect()}
     assert set(got) == {(n + i, i) for i in range(n)}
     assert all(g.similarity >= 0.8 - 1e-9 and g.start_word < 90 and g.end_word > 100 for g in got.values())
+
+
+def test_fuzzy_passages_whose_parts_come_first_elsewhere(spark):
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(5_000)]
+    fresh = lambda n: r.choices(words, k=n)
+    whole, twice = fresh(60), fresh(70)
+    parts = [fresh(40) + whole[:30] + fresh(40), fresh(20) + whole[30:] + fresh(40)]
+    rows = [*parts, fresh(10) + whole + fresh(10), *parts, fresh(33) + whole + fresh(44), fresh(9) + twice, twice + fresh(80) + twice + fresh(25) + twice]
+    got = chaining.find_repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()
+    assert [(g.start_word, g.end_word, g.ref_doc_id, g.ref_start_word) for g in got if g.doc_id == 5] == [(33, 93, 2, 10)]
+    assert sorted((g.start_word, g.end_word, g.ref_doc_id, g.ref_start_word) for g in got if g.doc_id == 7) == [(0, 70, 6, 9), (150, 220, 6, 9), (245, 315, 6, 9)]

@@ -167,6 +167,25 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(frame(spark, [], 1)).count() == 0
 
 
+def test_license_scan_rows_come_out_as_often_as_they_go_in(spark):
+    rows = [(1, "under the mit license a"), (1, "cc by nc b c"), (2, "x y"), (2, "x y"), (None, "x y"), (None, None), (3, "\u212a\u0130 UNDER THE M\u0130T LICENSE")]
+    got = sorted(((r.doc_id, r.n_words, r.base_labels, r.labels) for r in license_scan.scan_licenses(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 5, "mit", "mit"), (1, 5, "cc-by-nc", "cc-by-nc"), (2, 2, "", ""), (2, 2, "", ""), (None, 2, "", ""), (None, 0, "", ""), (3, 5, "", "")], key=str)
+
+
+def test_license_spans_are_verified(spark):
+    label, text = license_scan.TEMPLATES[0]
+    w = text.split()
+    near = " ".join(w[:20] + ["new"] + w[20:40] + w[42:])  # a word more and two less
+    apart = " ".join(x for k in range(0, len(w) - 3, 3) for x in [*w[k : k + 3], *["other"] * 9])  # all words, far apart
+    got = {r.doc_id: r for r in license_scan.scan_licenses(frame(spark, [(1, "a b c " + near + " d"), (2, apart), (3, "start " + text)])).collect()}
+    assert got[1].labels == label and got[2].labels == "" and got[3].labels == label
+    n = lambda t: len([x for x in re.split(license_scan.BETWEEN, t.lower()) if x])
+    s = next(s for s in got[3].spans if s.share == 1.0 and s.end_word - s.first_word == n(text))
+    assert (s.label, s.first_word, s.end_word) == (label, 1, 1 + n(text))
+    assert any((s.label, s.first_word, s.end_word) == (label, 3, 3 + n(near)) and s.share > 0.9 for s in got[1].spans)
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))

@@ -15,17 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from upkeep.llm import scratch
 from upkeep.llm import words as wd
 
 HIDDEN = 12
 STEPS = 32
-#: At most so many training documents of each language, and so many bytes of each of them.
+#: At most so many training documents of each language, and so many stretches from anywhere in each of them.
 SAMPLE = 200
-SAMPLE_BYTES = 4_000
-#: At most so many languages, the most frequent ones.
-LANGUAGES = 64
+STRETCHES = 64
 UNDETERMINED = "und"
 
 Weights = dict[str, np.ndarray]
@@ -112,8 +111,9 @@ def gradients(w: Weights, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tup
     return loss, g
 
 
-def train(texts: list[bytes], labels: np.ndarray, n_classes: int, rounds: int = 240, batch: int = 160, seed: int = 7) -> Weights:
-    """Adam on random stretches, the classes drawn equally often."""
+def train(texts: list[list[bytes]], labels: np.ndarray, n_classes: int, rounds: int = 240, batch: int = 160, seed: int = 7) -> Weights:
+    """Adam on random stretches of the texts, the classes drawn equally often; more than eight classes get more rounds."""
+    rounds = rounds * max(8, n_classes) // 8
     w, r = initial(n_classes, seed=seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(a) for k, a in w.items()} for _ in range(2))
     of = [np.flatnonzero(labels == k) for k in range(n_classes)]
@@ -122,8 +122,7 @@ def train(texts: list[bytes], labels: np.ndarray, n_classes: int, rounds: int =
         x, mask = np.zeros((STEPS, batch), np.uint8), np.zeros((STEPS, batch), np.float32)
         for j, k in enumerate(y):
             t = texts[r.choice(of[k])]
-            a = int(r.integers(max(1, len(t) - STEPS + 1)))
-            s = np.frombuffer(t[a : a + STEPS], np.uint8)
+            s = np.frombuffer(t[int(r.integers(len(t)))], np.uint8)
             x[: len(s), j], mask[: len(s), j] = s, 1
         _, g = gradients(w, x, y, mask)
         rate = 0.02 * min(1.0, i / 20) * (1 - 0.9 * i / rounds)
@@ -135,31 +134,25 @@ def train(texts: list[bytes], labels: np.ndarray, n_classes: int, rounds: int =
 
 
 def fit(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], Weights | None]:
-    """Languages and weights, learned from rows where ``trained_on`` holds.
+    """All languages and weights, learned from rows where ``trained_on`` holds.
 
     At most ``sample`` documents of each language are used, those with the smallest hash
-    of the id, and ``SAMPLE_BYTES`` bytes of each; at most ``LANGUAGES`` languages. Rows
-    without text, language or id are left out.
+    of the id, and ``STRETCHES`` stretches of ``STEPS`` bytes from anywhere in each of them.
+    Rows without text, language or id are left out.
     """
-    known = docs.where(trained_on & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    counted = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()
-    langs = sorted(r[0] for r in counted)
-    ids = None
-    for lang in langs:
-        part = known.where(F.col(lang_col) == lang).select(F.col(id_col).alias("i")).orderBy(F.xxhash64("i"), "i").limit(sample)
-        ids = part if ids is None else ids.unionByName(part)
-    if ids is None:
-        return [], None
-    picked = known.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("i"), "left_semi")
-    body = F.col(text_col).cast("binary").substr(1, SAMPLE_BYTES)
-    rows = picked.where(F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), body.alias("body")).collect()
-    rows = sorted((langs.index(r["lang"]), bytes(r["body"])) for r in rows if len(r["body"]))
-    if len({k for k, _ in rows}) < len(langs):
-        langs_left = sorted({k for k, _ in rows})
-        langs, rows = [langs[k] for k in langs_left], [(langs_left.index(k), b) for k, b in rows]
+    known = docs.where(trained_on & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("body"))
+    first = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")  # Spark keeps the first rows of each task before it shuffles
+    ids = known.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id", "lang").distinct()
+    at = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.pmod(F.xxhash64("id", k), F.greatest(F.length("body") - STEPS + 1, F.lit(1))).cast("int"))
+    picked = known.join(F.broadcast(ids), ["id", "lang"], "left_semi")
+    rows = picked.select("lang", F.transform(at, lambda p: F.substring("body", p + 1, F.lit(STEPS))).alias("parts")).collect()
+    rows = sorted((r["lang"], [bytes(x) for x in r["parts"]]) for r in rows)
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return [], None
-    return langs, train([b for _, b in rows], np.array([k for k, _ in rows]), len(langs))
+    number = {lang: k for k, lang in enumerate(langs)}
+    return langs, train([parts for _, parts in rows], np.array([number[lang] for lang, _ in rows]), len(langs))
 
 
 def _pooled(w: Weights, flat: np.ndarray, at: np.ndarray, n_classes: int) -> np.ndarray:
@@ -187,7 +180,8 @@ def identify(docs: DataFrame, langs: list[str], weights: Weights | None, id_col:
     """One row per document: ``doc_id``, the columns in ``carry``, ``lang_pred, score``.
 
     The label is the language with the largest mean probability over the bytes of the
-    whole text, and ``score`` that mean. A null text, an empty one and one without a letter is
+    whole text, and ``score`` that mean. The network reads stretches of ``STEPS`` bytes, each from a
+    fresh state. Rows that repeat an id come out as often. A null text, an empty one and one without a letter is
     ``und`` with score 1; so is every text when nothing could be learned, with score 0.
     """
     src = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *(carry or []))

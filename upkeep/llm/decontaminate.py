@@ -24,10 +24,8 @@ from upkeep.llm import words as wd
 Q = 8
 SEGMENT = 100
 RATE = 0.1
-#: Items with fewer normal characters than this are no evidence and are left out.
-LEAST = 24
-#: Bytes of benchmark text that go to the tasks at once; a larger benchmark takes several passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that go to the tasks at once (about 45 MB of index each); a larger benchmark takes several passes.
+BLOCK_BYTES = 1 << 20
 _KEEP = wd._LETTER_OR_DIGIT
 
 
@@ -83,7 +81,7 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
 
 
-def build(items: list[tuple[int, str]], segment: int = SEGMENT, rate: float = RATE, q: int = Q, least: int = LEAST, common: int = 8) -> Index:
+def build(items: list[tuple[int, str]], segment: int = SEGMENT, rate: float = RATE, q: int = Q, common: int = 8) -> Index:
     """Segments of the items and their q-grams.
 
     Items are cut into segments that overlap by half, so every passage of one and a half
@@ -95,7 +93,7 @@ def build(items: list[tuple[int, str]], segment: int = SEGMENT, rate: float = RA
     for i, text in items:
         body = normal(*wd.buffers(pa.array([text])))[0]
         n = len(body)
-        if n < max(least, q):
+        if n < q:
             continue
         starts = [0] if n <= segment else [*range(0, n - segment, segment // 2), n - segment]
         for s in starts:
@@ -211,22 +209,25 @@ def find_contamination(
     whole) is there with at most ``rate`` edits a character. Bytes are those of the UTF-8
     text from the first to the last place, ``edits`` the fewest of a segment, ``coverage``
     the share of the item inside found segments. Null and empty texts hold nothing, and
-    null ids stay null; rows that repeat an id give a row each; items that are null or
-    shorter than ``LEAST`` normal characters are left out, repeated item ids are items of
-    their own. An empty table gives no rows.
+    null ids of either table stay null; rows that repeat an id give a row each; items that are null or
+    shorter than ``Q`` normal characters hold no gram and are left out, items below ``2 * Q`` must be there
+    without an edit, and repeated item ids are items of their own, of any type. An empty table gives no rows.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, start_byte long, end_byte long, n_segments int, edits int, coverage double"
+    item = benchmark.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id {item}, start_byte long, end_byte long, n_segments int, edits int, coverage double"
     scratch.small_batches(spark)
     out = None
-    for items in _blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(build(items, segment, rate))
+    for ids, items in _blocks(benchmark, block_bytes):
+        index = spark.sparkContext.broadcast((ids, build(items, segment, rate)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            ids, known = index.value
             for b in batches:
-                yield _rows(b, index.value)
+                found = _rows(b, known)
+                yield found.set_column(1, "item_id", ids.take(found["item_id"]))
 
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -242,7 +243,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     spark = docs.sparkSession
     scratch.small_batches(spark)
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, block_bytes):
+    for _, items in _blocks(benchmark, block_bytes):
         index = spark.sparkContext.broadcast(build(items, segment, rate))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
@@ -256,17 +257,19 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return docs
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of about ``block_bytes``; the driver holds one block at a time."""
-    block, size = [], 0
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[pa.Array, list[tuple[int, str]]]]:
+    """Items in blocks of about ``block_bytes``: their ids and, numbered from 0, their texts; the driver holds one block at a time."""
+    kind = benchmark.limit(0).select("item_id").toArrow().schema.field(0).type
+    ids, block, size = [], [], 0
     for row in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], row[1]))
+        block.append((len(block), row[1]))
+        ids.append(row[0])
         size += len(row[1])
         if size >= block_bytes:
-            yield block
-            block, size = [], 0
+            yield pa.array(ids, kind), block
+            ids, block, size = [], [], 0
     if block:
-        yield block
+        yield pa.array(ids, kind), block
 
 
 def _rows(b: pa.RecordBatch, index: Index) -> pa.RecordBatch:

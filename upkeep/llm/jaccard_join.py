@@ -285,11 +285,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if i != k:
                         a.append(reps[order[i]])
                         c.append(reps[order[k]])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            of = b.column(0).type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(c, of)], names=["a", "b"])
 
     # a region holds at most REGION sets, or two blocks of about half as many
     gathered = full.groupBy("region").agg(F.collect_list("rep").alias("reps"), F.collect_list("grams").alias("grams")).where(F.size("reps") > 1)
-    edges = gathered.select(F.col("reps").cast("array<bigint>"), "grams").mapInArrow(links, "a long, b long")
+    edges = gathered.select("reps", "grams").mapInArrow(links, f"a {kind}, b {kind}")
     found = connected_components(edges).withColumnsRenamed({"node": "rep"})
     labels = nodes.join(found, "rep", "left").select("size", "fp", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, ["size", "fp"], "left").select(

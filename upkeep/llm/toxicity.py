@@ -40,14 +40,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, penalty: float = 1e-3, rounds: int = 150, least: int = 5) -> Model:
+def least_texts(n: int, least: int = 5) -> int:
+    """Of ``n`` texts, so many must have a feature for it to count."""
+    return min(least, max(1, n // 50))
+
+
+def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> Model:
     """Accelerated proximal gradient on the cumulative-link likelihood; features are hashes and values of each text."""
     n, n_grades = len(grades), int(max(grades.max(initial=0), 1))
     flat = np.concatenate([f for f, _ in features]) if n else np.zeros(0, np.uint64)
     value = np.concatenate([v for _, v in features]) if n else np.zeros(0)
     row = np.repeat(np.arange(n), [len(f) for f, _ in features])
     vocab, column, df = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = df >= min(least, max(1, n // 50))
+    keep = df >= least_texts(n)
     used = keep[column]
     number = np.cumsum(keep) - 1
     row, column, vocab, value = row[used], number[column[used]], vocab[keep], value[used]
@@ -124,7 +129,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             x, v = pa.array([a.view(np.int64) for a, _ in f], pa.list_(pa.int64())), pa.array([a for _, a in f], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), x, v], names=["grade", "x", "v"])
 
-    got = picked.mapInArrow(hashed, "grade int, x array<bigint>, v array<double>").toArrow()
+    every = scratch.table(picked.mapInArrow(hashed, "grade int, x array<bigint>, v array<double>"), "features")
+    n = every.count()
+    # features of few texts would be left out anyway, and only the others reach the driver
+    counted = every.select(F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("c")).where(F.col("c") >= least_texts(n)).select("f")
+    vocab = spark.sparkContext.broadcast(np.sort(counted.toArrow()["f"].to_numpy()))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b["x"].offsets.to_numpy())
+            x, v = b["x"].flatten().to_numpy(), b["v"].flatten().to_numpy()
+            use = np.isin(x, vocab.value)
+            at = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[use], minlength=len(size)))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(c[use])) for c in (x, v)]
+            yield pa.RecordBatch.from_arrays([b["grade"], *lists], names=["grade", "x", "v"])
+
+    got = every.mapInArrow(kept, every.schema).toArrow()
     grades = got["grade"].to_numpy()
     if not (len(grades) and grades.min() == 0 and grades.max() > 0):
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.array([30.0]))

@@ -115,7 +115,9 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = LEAST_BYTES) -> Data
     originals = large.where("type = 'response'").groupBy("digest").agg(
         F.min("record_no").alias("first_no"), F.min_by("record_id", F.struct(F.col("record_no").isNull(), "record_no")).alias("first_id"), F.count("*").alias("c")
     )
-    found = headers.join(originals.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("payload_bytes") >= least_bytes), "left")
+    # small payloads have no original; a key of their own spreads them
+    key = F.when(F.col("payload_bytes") >= least_bytes, F.col("digest")).otherwise(F.concat_ws(" ", "file", "offset"))
+    found = headers.join(originals.withColumnRenamed("digest", "d"), key == F.col("d"), "left")
     again = F.col("d").isNotNull() & ~F.col("record_no").eqNullSafe(F.col("first_no")) | (F.col("type") == "revisit")
     return found.select(
         *headers.columns,

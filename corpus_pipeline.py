@@ -23,10 +23,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact dedup; of equal texts the one with the largest id stays."""
+    """Exact dedup; of equal texts the one with the largest id stays, and of rows that repeat both, one."""
     kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").distinct()
     same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256) == kept["text_sha256"])
-    return docs.join(kept, same, "left_semi")
+    left = docs.join(kept, same, "left_semi")
+    repeats = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return left.dropDuplicates(["doc_id", "text"]) if repeats else left
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

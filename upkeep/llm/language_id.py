@@ -42,7 +42,7 @@ def initial(n_classes: int, hidden: int = HIDDEN, seed: int = 7) -> Weights:
     return w
 
 
-def _layer(w: Weights, d: str, x: np.ndarray, keep: list | None) -> np.ndarray:
+def _layer(w: Weights, d: str, x: np.ndarray, keep: list) -> np.ndarray:
     """Hidden states (steps, batch, hidden) of one direction; ``keep`` gets what the way back needs."""
     steps, batch = x.shape
     wx, wh, bn = w[f"x{d}"], w[f"h{d}"], w[f"n{d}"]
@@ -51,27 +51,53 @@ def _layer(w: Weights, d: str, x: np.ndarray, keep: list | None) -> np.ndarray:
     out = np.empty((steps, batch, n), np.float32)
     for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
         a, b = wx[x[t]], h @ wh
-        gates = np.tanh((a[:, : 2 * n] + b[:, : 2 * n]) * np.float32(0.5))
-        gates *= np.float32(0.5)
-        gates += np.float32(0.5)
+        gates = 0.5 + 0.5 * np.tanh((a[:, : 2 * n] + b[:, : 2 * n]) * np.float32(0.5))
         z, r = gates[:, :n], gates[:, n:]
         b3 = b[:, 2 * n :] + bn
         c = np.tanh(a[:, 2 * n :] + r * b3)
-        if keep is not None:
-            keep.append((t, h, z, r, b3, c))
+        keep.append((t, h, z, r, b3, c))
         h = c + z * (h - c)
         out[t] = h
     return out
 
 
+def _states(w: Weights, d: str, x: np.ndarray) -> np.ndarray:
+    """The same states, (steps, hidden, batch), in place and without what only training needs."""
+    steps, batch = x.shape
+    n = w[f"h{d}"].shape[0]
+    half = np.float32(0.5)
+    scale = np.repeat(np.array([half, half, 1], np.float32), n)[:, None]  # sigmoid(v) is half of 1 + tanh(v / 2)
+    wx, wh, bn = np.ascontiguousarray(w[f"x{d}"].T * scale), np.ascontiguousarray(w[f"h{d}"].T * scale), w[f"n{d}"][:, None]
+    h, out = np.zeros((n, batch), np.float32), np.empty((steps, n, batch), np.float32)
+    a, b = np.empty((3 * n, batch), np.float32), np.empty((3 * n, batch), np.float32)
+    gates, c = a[: 2 * n], b[2 * n :]
+    for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+        np.take(wx, x[t], axis=1, out=a, mode="clip")
+        np.matmul(wh, h, out=b)
+        gates += b[: 2 * n]
+        np.tanh(gates, out=gates)
+        gates *= half
+        gates += half
+        c += bn
+        c *= gates[n:]
+        c += a[2 * n :]
+        np.tanh(c, out=c)
+        np.subtract(h, c, out=out[t])
+        h = out[t]
+        h *= gates[:n]
+        h += c
+    return out
+
+
 def probabilities(w: Weights, x: np.ndarray) -> np.ndarray:
-    """Class probabilities of every byte: (steps, batch, classes)."""
+    """Class probabilities of every byte: (steps, classes, batch)."""
     n = w["hf"].shape[0]
-    p = _layer(w, "f", x, None) @ w["o"][:n]
-    p += _layer(w, "b", x, None) @ w["o"][n:]
-    p += w["c"]
-    np.exp(p - p.max(axis=2, keepdims=True), out=p)
-    p /= p.sum(axis=2, keepdims=True)
+    p = np.matmul(w["o"][:n].T, _states(w, "f", x))
+    p += np.matmul(w["o"][n:].T, _states(w, "b", x))
+    p += w["c"][:, None]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
     return p
 
 
@@ -171,8 +197,8 @@ def _pooled(w: Weights, flat: np.ndarray, at: np.ndarray, n_classes: int) -> np.
         mask = step[:, None] < n[None, :]
         x = np.where(mask, padded[s[None, :] + step[:, None]], np.uint8(0))
         p = probabilities(w, x)
-        p *= mask[..., None]
-        np.add.at(total, row[lo : lo + 4096], p.sum(0))
+        p *= mask[:, None, :]
+        np.add.at(total, row[lo : lo + 4096], p.sum(0).T)
     return total / np.maximum(1, size)[:, None]
 
 

@@ -13,31 +13,33 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
 
 
+def _sql(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return "NULL" if value is None else str(value)
+
+
+def _words(words: list[str]) -> Column:
+    """A constant array; one expression however many words there are."""
+    return F.expr("array(" + ", ".join(map(_sql, words)) + ")")
+
+
 def first_match(text: Column, table: list[tuple], default=None) -> Column:
     """Value of the first keyword of ``table`` that ``text`` contains; text is taken as it is."""
-    def chain(t: Column) -> Column:
-        out = None
-        for word, value in table:
-            out = F.when(F.contains(t, F.lit(word)), value) if out is None else out.when(F.contains(t, F.lit(word)), value)
-        return out
-
-    found = let(text, chain)
+    known = F.expr("array(" + ", ".join(f"named_struct('w', {_sql(w)}, 'v', {_sql(v)})" for w, v in table) + ")")
+    found = let(text, lambda t: F.get(F.filter(known, lambda x: F.contains(t, x["w"])), F.lit(0))["v"])
     return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
 
 
 def any_match(text: Column, words: list[str]) -> Column:
     """Whether ``text`` contains one of ``words``; no words match nothing."""
-    def chain(t: Column) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(t, F.lit(w))
-        return out
-
-    return let(text, chain)
+    if not words:
+        return F.lit(False)
+    return let(text, lambda t: F.exists(_words(words), lambda w: F.contains(t, w)))
 
 
 def count_matches(text: Column, words: list[str]) -> Column:
-    return let(text, lambda t: sum((F.contains(t, F.lit(w)).cast("int") for w in words), F.lit(0)))
+    return let(text, lambda t: F.size(F.filter(_words(words), lambda w: F.contains(t, w))))
 
 
 def _digits(text: Column, pattern: str) -> Column:
@@ -48,7 +50,7 @@ def _digits(text: Column, pattern: str) -> Column:
 def detect_interval(text: Column) -> Column:
     """Hours that a text names: a calendar word, else years, else a number of hours; null if none."""
     def find(t: Column) -> Column:
-        years = F.nullif(F.regexp_extract(t, r"(?i)(\d+)\s*[-–]?\s*years?", 1), F.lit("")).try_cast("int") * R.HOURS_PER_YEAR
+        years = F.try_multiply(F.nullif(F.regexp_extract(t, r"(?i)(\d+)\s*[-–]?\s*years?", 1), F.lit("")).try_cast("int"), F.lit(R.HOURS_PER_YEAR))
         hours = _digits(t, r"(?iu)(\d{1,6}[,.]?\d{0,3})\s*(?:operating\s+)?(?:hours?|hrs?|h\b|betriebsstunden|stunden)")
         return F.coalesce(first_match(F.lower(t), R.INTERVAL_WORDS), years, hours)
 
@@ -57,10 +59,9 @@ def detect_interval(text: Column) -> Column:
 
 def _nearest(hours: Column, valid: list[int]) -> Column:
     """Nearest of a sorted list by its midpoints; of two equally near the smaller."""
-    out = F.when(hours.isNull(), F.lit(None).cast("int"))
-    for low, high in zip(valid, valid[1:], strict=False):
-        out = out.when(hours * 2 <= low + high, low)
-    return out.otherwise(valid[-1])
+    tops = [low + high for low, high in zip(valid, valid[1:], strict=False)] + [2**62]
+    known = F.expr("array(" + ", ".join(f"named_struct('twice', {t}L, 'v', {v})" for t, v in zip(tops, valid, strict=True)) + ")")
+    return F.get(F.filter(known, lambda x: hours * F.lit(2).cast("bigint") <= x["twice"]), F.lit(0))["v"]
 
 
 def snap_interval(hours: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from upkeep.functions import rules as R
 from upkeep.functions import scalars as S
-from upkeep.operators.extract import table_rows
+from upkeep.operators.extract import TABLE, table_rows
 from upkeep.operators.pages import table_scan_pages
 
 CHUNK = ["manual_id", "chunk_type", "section_heading", "text", "page_start", "page_end", "char_start", "char_end", "interval_hint", "content_type", "ord"]
@@ -20,20 +20,26 @@ def char_to_page(position: Column, offsets: Column) -> Column:
     return F.when(F.coalesce(F.size(offsets), F.lit(0)) <= 0, 0).otherwise(F.coalesce(page, F.lit(1)))
 
 
+def _windows(text: Column, size: int, overlap: int) -> Column:
+    """Windows of a text as an array of their text ``t`` and start ``a``: the first place of the first word in the whole text."""
+    words = F.filter(F.split(S.strip(text), r"(?U)\s+"), lambda w: w != "")
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(max(1, size - overlap))))
+        return F.transform(starts, lambda s: F.struct(F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("t"), (F.position(F.element_at(w, s + 1), text) - 1).alias("a")))
+
+    return S.let(words, cut)
+
+
 def sliding_chunks(texts: DataFrame, size: int = 500, overlap: int = 103) -> DataFrame:
     """Windows of ``size`` words that overlap by ``overlap``; ``texts`` has manual_id, text and may have offsets.
 
-    A window's start is the first place of its first word in the whole text.
+    A window's start is the first place of its first word in the whole text. Null and empty texts have none.
     """
-    step = max(1, size - overlap)
-    words = F.filter(F.split(S.strip("text"), r"(?U)\s+"), lambda w: w != "")
-    rows = texts.select("manual_id", "text", *(["offsets"] if "offsets" in texts.columns else []), words.alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(step))
-    windows = F.transform(starts, lambda s: F.struct(F.element_at("w", s + 1).alias("first"), F.array_join(F.slice("w", s + 1, F.lit(size)), " ").alias("t")))
-    windows = F.transform(windows, lambda x: F.struct(x["t"].alias("t"), (F.position(x["first"], F.col("text")) - 1).alias("a")))
-    rows = rows.select("manual_id", *(["offsets"] if "offsets" in texts.columns else []), F.posexplode(windows).alias("ord", "c"))
+    more = ["offsets"] if "offsets" in texts.columns else []
+    rows = texts.select("manual_id", *more, F.posexplode(_windows(F.col("text"), size, overlap)).alias("ord", "c"))
     rows = rows.select("*", F.col("c.t").alias("chunk"), F.col("c.a").alias("char_start"), (F.col("c.a") + F.length("c.t")).alias("char_end"))
-    page = lambda c: char_to_page(F.col(c), F.col("offsets")) if "offsets" in texts.columns else F.lit(0)
+    page = lambda c: char_to_page(F.col(c), F.col("offsets")) if more else F.lit(0)
     return rows.select("manual_id", "ord", F.col("chunk").alias("text"), "char_start", "char_end", page("char_start").alias("page_start"), page("char_end").alias("page_end"), F.lit("text").alias("chunk_type"))
 
 
@@ -41,24 +47,27 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(S.strip(text), r"(?U)\s+"), lambda w: w != ""))
 
 
-def section_chunks(pages: DataFrame, min_words: int = 20, max_pages: int = 120) -> DataFrame:
-    """Text under each heading of the first pages, with the heading in front; sections of too few words are left out."""
-    lines = pages.where(F.col("page_no") <= max_pages).select("manual_id", "page_no", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", S.strip("line")).where("line <> ''").withColumn("head", S.is_heading(F.col("line")))
-    # sections are numbered by the headings of earlier pages plus those of the own page, so no window spans a manual's lines
-    per_page = lines.groupBy("manual_id", "page_no").agg(F.count(F.when(F.col("head"), 1)).alias("heads"))
-    before = F.coalesce(F.sum("heads").over(W.partitionBy("manual_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.count(F.when(F.col("head"), 1)).over(W.partitionBy("manual_id", "page_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    lines = lines.withColumn("own", own).join(per_page.withColumn("before", before).drop("heads"), ["manual_id", "page_no"]).withColumn("section", F.col("before") + F.col("own"))
+def section_chunks(pages: DataFrame, min_words: int = 20, max_pages: int | None = 120) -> DataFrame:
+    """Text under each heading of the first pages (all, with None), with the heading in front; sections of too few words are left out.
+
+    Pages are dealt by manual once; numbering, grouping and the next heading's page keep that partitioning.
+    """
+    manual = W.partitionBy("manual_id")
+    cut = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("line_no"), S.strip(line).alias("line"))), lambda x: x["line"] != "")
+    if max_pages is not None:
+        cut = F.when(F.col("page_no") <= max_pages, cut)
+    lines = pages.select("manual_id", "page_no", F.max("page_no").over(manual).alias("last_page"), "text")
+    lines = lines.select("manual_id", "page_no", "last_page", F.explode(cut).alias("x")).select("manual_id", "page_no", "last_page", "x.*")
+    lines = lines.withColumn("head", S.is_heading(F.col("line")))
+    lines = lines.withColumn("section", F.count(F.when(F.col("head"), 1)).over(manual.orderBy("page_no", "line_no").rowsBetween(W.unboundedPreceding, 0)))
     item = F.struct("page_no", "line_no", "line", S.detect_interval(F.col("line")).alias("iv"))
     grouped = lines.groupBy("manual_id", "section").agg(
         F.array_sort(F.collect_list(F.when(~F.col("head"), item))).alias("body"),
         F.max(F.when(F.col("head"), F.col("line"))).alias("heading"),
         F.max(F.when(F.col("head"), F.col("page_no"))).alias("head_page"),
+        F.max("last_page").alias("last_page"),
     )
-    last = pages.groupBy("manual_id").agg(F.max("page_no").alias("last_page"))
-    order = W.partitionBy("manual_id").orderBy("section")
-    grouped = grouped.withColumn("next_page", F.lead("head_page").over(order)).join(last, "manual_id")
+    grouped = grouped.withColumn("next_page", F.lead("head_page").over(manual.orderBy("section")))
     body = F.array_join(F.transform("body", lambda x: x["line"]), "\n")
     rows = grouped.withColumn("body_text", body).where((F.size("body") > 0) & (word_count(F.col("body_text")) >= min_words))
     heading = F.coalesce("heading", F.lit(""))
@@ -91,81 +100,93 @@ def split_long_sections(sections: DataFrame, max_words: int = 800) -> DataFrame:
 
     packed = F.aggregate(paragraphs, start, take, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["buf"])), lambda b: F.size(b) > 0))
     head = F.when(F.col("section_heading") != "", F.concat(F.lit("[SECTION: "), F.col("section_heading"), F.lit("]\n"))).otherwise("")
-    long_ = word_count(F.col("text")) > max_words
-    short = sections.where(~long_).withColumn("part", F.lit(0))
-    rows = sections.where(long_).select("*", F.posexplode(packed).alias("part", "piece"))
-    rows = rows.withColumns({"text": F.concat(head, F.array_join("piece", "\n\n")), "chunk_type": F.lit("paragraph"), "char_end": F.lit(0)}).drop("piece")
-    return short.unionByName(rows)
+    rows = sections.withColumn("long_", word_count(F.col("text")) > max_words)
+    pieces = F.when(F.col("long_"), F.transform(packed, lambda x: F.concat(head, F.array_join(x, "\n\n")))).otherwise(F.array("text"))
+    rows = rows.select("*", F.posexplode(pieces).alias("part", "piece"))
+    kind, end = F.when(F.col("long_"), "paragraph").otherwise(F.col("chunk_type")), F.when(F.col("long_"), 0).otherwise(F.col("char_end"))
+    return rows.withColumns({"text": F.col("piece"), "chunk_type": kind, "char_end": end}).drop("piece", "long_")
 
 
 def checkbox_chunks(sections: DataFrame) -> DataFrame:
     """Sections with two list items or more become one chunk an item; others stay."""
     item = r"(?m)^[ \t]*(?:[□☐☑✓✔○●]|\[\s*\]|\(\s*\)|[•\-\*])\s+(.{5,})$"
     rows = sections.withColumn("items", F.regexp_extract_all("text", F.lit(item), F.lit(1)))
-    plain = rows.where(F.size("items") < 2).withColumn("item", F.lit(0)).drop("items")
+    rows = rows.withColumn("listed", F.size("items") >= 2)
+    rows = rows.select("*", F.posexplode(F.when(F.col("listed"), F.col("items")).otherwise(F.array("text"))).alias("item", "t"))
     head = F.when(F.col("section_heading") != "", F.concat(F.col("section_heading"), F.lit(": "))).otherwise("")
-    split = rows.where(F.size("items") >= 2)
-    split = split.select(*[c for c in split.columns if c not in ("items",)], F.posexplode("items").alias("item", "t"))
-    place = F.position(F.col("t"), F.col("text")) - 1
-    split = split.withColumns({"char_start": place.cast("int"), "char_end": (place + F.length("t")).cast("int"), "chunk_type": F.lit("checkbox"), "new": F.concat(F.lit("[TASK ITEM] "), head, S.strip("t"))})
-    split = split.withColumn("text", F.col("new")).drop("new", "t")
-    return plain.unionByName(split)
-
-
-def table_row_chunks(pages: DataFrame) -> DataFrame:
-    """A chunk for each row of the tables on pages that name maintenance work; two-column label tables are one chunk."""
-    scanned = table_scan_pages(pages)
-    intervals = scanned.select("manual_id", "page_no", "page_interval")
-    rows = table_rows(scanned).where("n_rows >= 2")
-    table = ["manual_id", "page_no", "table_idx"]
-    rows = rows.withColumn("width", F.max(F.size("cells")).over(W.partitionBy(*table))).where("width >= 2")
-    label = F.lower(F.get("cells", F.lit(0)))
-    known = F.count(F.when(label.isin(*R.KEY_LABELS), 1)).over(W.partitionBy(*table))
-    rows = rows.withColumn("is_kv", (F.col("width") == 2) & (known >= 2)).join(intervals, ["manual_id", "page_no"])
-    pair = F.struct("row_idx", label.alias("k"), F.get("cells", F.lit(1)).alias("v"))
-    kv = rows.where("is_kv").where((F.size("cells") >= 2) & (label != "") & (F.get("cells", F.lit(1)) != "")).groupBy(*table, "page_interval").agg(F.array_sort(F.collect_list(pair)).alias("kv"))
-    # a label that comes twice keeps its first place and its last value
-    keys = F.array_distinct(F.transform("kv", lambda x: x["k"]))
-    lasting = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter("kv", lambda x: x["k"] == k), -1)["v"].alias("v")))
-    kv = kv.select(*table, "page_interval", F.lit(0).alias("row_idx"), lasting.alias("pairs"), F.lit(None).cast("int").alias("number_iv"))
-    plain = rows.where("NOT is_kv")
+    place = (F.position(F.col("t"), F.col("text")) - 1).cast("int")
+    for_items = {
+        "char_start": place, "char_end": (place + F.length("t")).cast("int"), "chunk_type": F.lit("checkbox"),
+        "text": F.concat(F.lit("[TASK ITEM] "), head, S.strip("t")),
+    }
+    return rows.withColumns({c: F.when(F.col("listed"), v).otherwise(F.col(c)) for c, v in for_items.items()}).drop("items", "listed", "t")
+
+
+def table_row_chunks(pages: DataFrame, first_pages: int | None = 80) -> DataFrame:
+    """A chunk for each row of the tables on pages that name maintenance work; two-column label tables are one chunk.
+
+    What a whole table decides (its width, kind, heading row and number column) are windows over the table, so rows are dealt once.
+    """
+    rows = table_rows(table_scan_pages(pages, first_pages), "page_interval").where("n_rows >= 2")
+    table = W.partitionBy(*TABLE).orderBy("row_idx").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    earliest = lambda ok, value: F.first(F.when(ok, value), ignorenulls=True).over(table)
+    label, value = F.lower(F.get("cells", F.lit(0))), F.get("cells", F.lit(1))
+    rows = rows.withColumns({"width": F.max(F.size("cells")).over(table), "known": F.count(F.when(label.isin(*R.KEY_LABELS), 1)).over(table)}).where("width >= 2")
+    rows = rows.withColumn("is_kv", (F.col("width") == 2) & (F.col("known") >= 2))
+    named = F.col("is_kv") & (F.size("cells") >= 2) & (label != "") & (value != "")
     filled = F.size(F.filter("cells", lambda c: c != "")) >= 2
-    heads = plain.where((F.col("row_idx") < 4) & filled).groupBy(*table).agg(F.min_by(F.struct("row_idx", F.transform("cells", F.lower).alias("h")), "row_idx").alias("head"))
     number = lambda c: F.when(F.rlike(c, F.lit(r"^\d+$")), c.try_cast("int"))
     spot = F.filter(F.sequence(F.lit(0), F.size("cells") - 2), lambda i: number(F.get("cells", i)).isin(*R.NUMBER_COLUMN_INTERVALS) & S.any_match(F.lower(F.get("cells", i + 1)), R.NUMBER_COLUMN_ACTIONS))
-    cols = plain.where((F.col("row_idx") < 3) & (F.size("cells") >= 2)).withColumn("spot", F.get(spot, F.lit(0))).where("spot IS NOT NULL").groupBy(*table).agg(F.min_by("spot", "row_idx").alias("number_col"))
-    plain = plain.join(heads, table, "left").join(cols, table, "left").where(F.col("head").isNull() | (F.col("row_idx") > F.col("head.row_idx")))
+    spot = F.when(~F.col("is_kv") & (F.col("row_idx") < 3) & (F.size("cells") >= 2), F.get(spot, F.lit(0)))
+    rows = rows.withColumns({
+        "kv": F.collect_list(F.when(named, F.struct(label.alias("k"), value.alias("v")))).over(table),
+        "kv_row": earliest(named, F.col("row_idx")),
+        "head": earliest(~F.col("is_kv") & (F.col("row_idx") < 4) & filled, F.struct("row_idx", F.transform("cells", F.lower).alias("h"))),
+        "number_col": F.first(spot, ignorenulls=True).over(table),
+    })
+    # a label that comes twice keeps its first place and its last value
+    keys = F.array_distinct(F.transform("kv", lambda x: x["k"]))
+    lasting = F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(F.filter("kv", lambda x: x["k"] == k), -1)["v"].alias("v")))
     auto = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.concat(F.lit("col_"), i.cast("string")))
     names = F.coalesce("head.h", auto)
     zipped = F.filter(F.transform("cells", lambda c, i: F.struct(F.get(names, i).alias("k"), c.alias("v"))), lambda x: x["k"].isNotNull() & (x["v"] != ""))
-    plain = plain.withColumn("pairs", zipped).where(F.size("pairs") > 0)
+    below = F.col("head").isNull() | (F.col("row_idx") > F.col("head.row_idx"))
+    rows = rows.withColumn("pairs", F.when(F.col("is_kv"), F.when(F.col("row_idx") == F.col("kv_row"), lasting)).when(below, zipped)).where(F.size("pairs") > 0)
     total = F.aggregate("pairs", F.lit(0), lambda n, x: n + word_count(x["v"]))
-    plain = plain.where(F.col("head").isNotNull() | (total >= 5))
+    rows = rows.where(F.col("is_kv") | F.col("head").isNotNull() | (total >= 5))
     by_column = number(F.get("cells", F.col("number_col")))
-    plain = plain.select(*table, "page_interval", "row_idx", "pairs", F.when(by_column.isin(*R.NUMBER_COLUMN_INTERVALS), by_column).alias("number_iv"))
-    out = kv.unionByName(plain)
     body = F.array_join(F.transform("pairs", lambda x: F.concat(x["k"], F.lit(": "), x["v"])), " | ")
-    out = out.withColumn("body", body)
+    out = rows.withColumns({"body": body, "number_iv": F.when(~F.col("is_kv") & by_column.isin(*R.NUMBER_COLUMN_INTERVALS), by_column), "at": F.when(F.col("is_kv"), 0).otherwise(F.col("row_idx"))})
     return out.select(
         "manual_id", F.lit("table_row").alias("chunk_type"), F.lit("").alias("section_heading"), F.concat(F.lit("[TABLE ROW] "), "body").alias("text"),
         F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), F.lit(0).alias("char_start"), F.length("body").alias("char_end"),
         F.coalesce(F.nullif(S.detect_interval(F.col("body")), F.lit(0)), "number_iv", "page_interval").alias("interval_hint"), F.lit("table").alias("content_type"),
-        (F.col("page_no").cast("bigint") * 1_000_000_000 + F.col("table_idx") * 100_000 + F.col("row_idx")).alias("ord"), F.to_json("pairs").alias("table_data"),
+        (F.col("page_no").cast("bigint") * 1_000_000_000 + F.col("table_idx") * 100_000 + F.col("at")).alias("ord"), F.to_json("pairs").alias("table_data"),
     )
 
 
 def chunk_pages(pages: DataFrame, max_words: int = 800) -> DataFrame:
-    """Table rows, then sections with their list items; manuals with neither get sliding windows."""
+    """Table rows, then sections with their list items; manuals with neither get sliding windows.
+
+    Pages go along with the chunks, and where a manual has no chunk its pages are joined and cut
+    into windows, so that nothing is computed twice to find such manuals.
+    """
     tables = table_row_chunks(pages).select(*CHUNK).withColumns({"part": F.lit(0), "item": F.lit(0), "grp": F.lit(0)})
     sections = checkbox_chunks(split_long_sections(section_chunks(pages), max_words)).withColumn("grp", F.lit(1))
     found = tables.unionByName(sections.select(*tables.columns))
-    order = F.row_number().over(W.partitionBy("manual_id").orderBy("grp", "ord", "part", "item"))
-    found = found.withColumn("ord", order.cast("bigint")).select(*CHUNK)
-    rest = pages.join(found.select("manual_id").distinct(), "manual_id", "left_anti")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
-    windows = sliding_chunks(rest.groupBy("manual_id").agg(F.array_join(parts, "\n").alias("text")))
-    windows = windows.withColumns({"section_heading": F.lit(""), "interval_hint": F.lit(None).cast("int"), "content_type": F.lit("procedure"), "ord": F.col("ord").cast("bigint")})
-    return found.unionByName(windows.select(*CHUNK))
+    own = pages.select("manual_id", F.coalesce("text", F.lit("")).alias("text"), F.col("page_no").alias("page_start"), F.lit(2).alias("grp"))
+    rows = found.unionByName(own, allowMissingColumns=True)
+    rows = rows.withColumn("n", F.count(F.when(F.col("grp") < 2, 1)).over(W.partitionBy("manual_id"))).where((F.col("grp") < 2) | (F.col("n") == 0))
+    order = F.row_number().over(W.partitionBy("manual_id").orderBy("grp", "ord", "part", "item", "page_start"))
+    rows = rows.withColumn("ord", F.when(F.col("grp") < 2, order).cast("bigint"))
+    # pages of a manual are one group, and every chunk is a group of its own
+    chunk = F.struct(*CHUNK[1:])
+    rows = rows.groupBy("manual_id", F.col("ord").alias("o")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_start").alias("page_no"), chunk.alias("c")))).alias("of"))
+    kind = rows.schema["of"].dataType.elementType["c"].dataType.simpleString()
+    whole = F.array_join(F.transform("of", lambda x: x["c"]["text"]), "\n")
+    window = lambda x, i: F.struct(F.lit("text"), F.lit(""), x["t"], F.lit(0), F.lit(0), x["a"], x["a"] + F.length(x["t"]), F.lit(None).cast("int"), F.lit("procedure"), i.cast("bigint")).cast(kind)
+    out = F.when(F.col("o").isNotNull(), F.transform("of", lambda x: x["c"])).otherwise(F.transform(_windows(whole, 500, 103), window))
+    return rows.select("manual_id", F.explode(out).alias("c")).select("manual_id", "c.*").select(*CHUNK)
 
 
 def markdown_chunks(docs: DataFrame, words_per_chunk: int = 400) -> DataFrame:

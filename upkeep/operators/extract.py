@@ -12,93 +12,132 @@ from upkeep.operators.pages import pm_candidate_pages
 from upkeep.operators.tasks import finalize_tasks
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """``manual_id, page_no, table_idx, row_idx, n_rows, cells``; cells stripped, null cells empty."""
-    rows = pages.select("manual_id", "page_no", F.posexplode("tables").alias("table_idx", "table"))
-    rows = rows.select("manual_id", "page_no", "table_idx", F.size("table").alias("n_rows"), F.posexplode("table").alias("row_idx", "cells"))
-    return rows.withColumn("cells", F.transform(F.coalesce("cells", F.array().cast("array<string>")), lambda c: S.strip(F.coalesce(c, F.lit("")))))
+TABLE = ["manual_id", "page_no", "table_idx"]
+#: What a strategy makes of a row: an ordinal, and the task.
+NO_TASKS = "array<struct<ord:struct<strategy:int,page_no:int,i:int,j:int,k:int>,task:struct<area:string,action:string,description:string,machine_state:string,safety_flag:boolean,part_number:string,interval_hours:int>>>"
 
 
-def _ord(*parts: str) -> Column:
-    """One number that sorts like the ordinals given (each below 100,000)."""
-    out = F.lit(0).cast("decimal(38,0)")
-    for p in parts:
-        out = (out * 100_000 + F.col(p)).cast("decimal(38,0)")
-    return out
+def table_rows(pages: DataFrame, *more: str) -> DataFrame:
+    """``manual_id, page_no, table_idx, row_idx, n_rows, cells`` and columns ``more``; cells stripped, null cells empty."""
+    cell = lambda c: S.strip(F.coalesce(c, F.lit("")))
+    row = lambda t, ti: lambda cells, ri: F.struct(ti.alias("table_idx"), ri.alias("row_idx"), F.size(t).alias("n_rows"), F.transform(F.coalesce(cells, F.array().cast("array<string>")), cell).alias("cells"))
+    rows = F.flatten(F.transform("tables", lambda t, ti: F.transform(t, row(t, ti))))
+    return pages.select("manual_id", "page_no", *more, F.explode(rows).alias("r")).select("manual_id", "page_no", *more, "r.*")
 
 
-def _tasks(rows: DataFrame, ord_: Column, area: Column, action: Column, text: Column, interval: Column, part: Column | None = None) -> DataFrame:
-    rows = rows.withColumn("task", S.build_task(area, action, text, interval, part)).withColumn("ord", ord_)
-    return rows.where(~S.is_non_pm(text)).select("manual_id", "ord", "page_no", "task.*")
+def _ord(strategy: int, *parts: str | Column) -> Column:
+    """Ordinals as one value that sorts like them."""
+    at = [F.col(p) if isinstance(p, str) else p for p in parts] + [F.lit(0)] * (4 - len(parts))
+    return F.struct(F.lit(strategy).alias("strategy"), *[c.cast("int").alias(n) for c, n in zip(at, ("page_no", "i", "j", "k"), strict=True)])
+
+
+def _made(ord_: Column, area: Column, action: Column, text: Column, interval: Column, part: Column | None = None) -> Column:
+    """A task with its ordinal; none for signs and labels."""
+    task = F.struct(ord_.alias("ord"), S.build_task(area, action, text, interval, part).alias("task"))
+    return F.when(~S.is_non_pm(text), task)
+
+
+def _several(tasks: Column) -> Column:
+    return F.filter(tasks, lambda x: x.isNotNull()).cast(NO_TASKS)
+
+
+def _exploded(rows: DataFrame, *arrays: str) -> DataFrame:
+    rows = rows.select("manual_id", "page_no", F.explode(F.concat(*arrays)).alias("x"))
+    return rows.select("manual_id", F.col("x.ord").alias("ord"), "page_no", "x.task.*")
 
 
 def _part(cells: str = "cells") -> Column:
     return F.get(F.filter(cells, lambda c: F.rlike(c, F.lit(R.PART_NUMBER))), F.lit(0))
 
 
-def header_table_tasks(pages: DataFrame) -> DataFrame:
-    """Tasks of tables with a heading row: one of the first four rows whose cells name two roles, interval or action among them.
+def _running(rows: DataFrame) -> W:
+    return W.partitionBy(*TABLE).orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
 
-    A row without an interval takes the last one of its table. Rows too short for the
-    columns that the heading names are left out.
+
+def _with_header_tasks(rows: DataFrame) -> DataFrame:
+    """Add ``by_header``, the task of a row below a heading row.
+
+    Heading and carried interval are running values along a table, so nothing is joined, and rows that lie together by manual stay so.
     """
-    rows = table_rows(pm_candidate_pages(pages)).where("n_rows >= 2")
-    role = lambda name: F.array_position(F.transform("cells", lambda c: S.any_match(F.lower(c), R.HEADER_WORDS[name])), True) - 1
-    heads = rows.where("row_idx < 4").withColumns({f"c_{n}": role(n).cast("int") for n in R.HEADER_WORDS})
-    named = sum(((F.col(f"c_{n}") >= 0).cast("int") for n in R.HEADER_WORDS), F.lit(0))
-    heads = heads.where((named >= 2) & ((F.col("c_interval") >= 0) | (F.col("c_action") >= 0)))
-    table = ["manual_id", "page_no", "table_idx"]
-    first = heads.groupBy(*table).agg(F.min_by(F.struct("row_idx", *[f"c_{n}" for n in R.HEADER_WORDS]), "row_idx").alias("h"))
-    rows = rows.join(first, table).where(F.col("row_idx") > F.col("h.row_idx")).where(F.exists("cells", lambda c: c != ""))
+    low = F.transform("cells", F.lower)
+    role = lambda name: F.array_position(F.transform(low, lambda c: S.any_match(c, R.HEADER_WORDS[name])), True) - 1
+    may = (F.col("row_idx") < 4) & (F.col("n_rows") >= 2)
+    roles = F.when(may, F.struct("row_idx", *[role(n).cast("int").alias(f"c_{n}") for n in R.HEADER_WORDS]))
+    rows = rows.withColumn("roles", roles)
+    named = sum(((F.col(f"roles.c_{n}") >= 0).cast("int") for n in R.HEADER_WORDS), F.lit(0))
+    is_head = (named >= 2) & ((F.col("roles.c_interval") >= 0) | (F.col("roles.c_action") >= 0))
+    rows = rows.withColumn("h", F.first(F.when(is_head, F.col("roles")), ignorenulls=True).over(_running(rows)))
     have = lambda n: F.col(f"h.c_{n}") >= 0
     at = lambda i: F.get("cells", i)
     i_action = F.when(have("action"), F.col("h.c_action")).when(have("desc"), F.col("h.c_desc")).otherwise(0)
     i_desc = F.when(have("desc"), F.col("h.c_desc")).when(have("action"), F.col("h.c_action")).otherwise(0)
     last = F.greatest(i_action, i_desc, F.col("h.c_interval"), F.col("h.c_area"))
-    rows = rows.where(F.size("cells") > last)
+    under = (F.col("row_idx") > F.col("h.row_idx")) & F.exists("cells", lambda c: c != "") & (F.size("cells") > last)
     raw = F.when(have("interval"), at(F.greatest(F.col("h.c_interval"), F.lit(0)))).otherwise("")
-    bare = F.regexp_replace(F.element_at(F.split(raw, "\n"), 1), r"[,\s]", "")
-    number = F.when(F.rlike(bare, F.lit(r"^[+-]?\d+$")), bare.try_cast("int"))
-    own = F.coalesce(S.detect_interval(raw), F.when(number.between(8, 50_000), number))
-    snapped = S.snap_interval(own)
-    rows = rows.withColumn("own", F.when(snapped >= 8, snapped)).withColumn("low", own.isNotNull() & (snapped < 8))
-    order = W.partitionBy(*table).orderBy("row_idx").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("interval", F.last("own", ignorenulls=True).over(order)).where(F.col("interval").isNotNull() & ~F.col("low"))
-    rows = rows.withColumns({"action_raw": at(i_action), "desc_raw": at(i_desc), "area_raw": F.when(have("area"), at(F.greatest(F.col("h.c_area"), F.lit(0)))).otherwise("")})
-    area = F.when(F.col("area_raw") != "", F.substring(F.upper("area_raw"), 1, 30)).otherwise(S.detect_area(F.col("desc_raw")))
-    text = F.when(F.col("desc_raw") != "", F.col("desc_raw")).otherwise(F.col("action_raw"))
-    return _tasks(rows, _ord("page_no", "table_idx", "row_idx"), area, S.detect_action(F.col("action_raw")), text, F.col("interval"), _part())
 
+    def found(r: Column) -> Column:
+        bare = F.regexp_replace(F.element_at(F.split(r, "\n"), 1), r"[,\s]", "")
+        number = F.when(F.rlike(bare, F.lit(r"^[+-]?\d+$")), bare.try_cast("int"))
+        return S.snap_interval(F.coalesce(S.detect_interval(r), F.when(number.between(8, 50_000), number)))
 
-def interval_column_tasks(pages: DataFrame) -> DataFrame:
-    """Tasks of tables whose first row has two interval headings or more: a task for each marked cell."""
-    rows = table_rows(pm_candidate_pages(pages)).where("n_rows >= 3")
+    rows = rows.withColumn("snapped", F.when(under, S.let(raw, found)))
+    rows = rows.withColumn("interval", F.last(F.when(F.col("snapped") >= 8, F.col("snapped")), ignorenulls=True).over(_running(rows)))
+    desc, work = at(i_desc), at(i_action)
+    given = F.when(have("area"), at(F.greatest(F.col("h.c_area"), F.lit(0)))).otherwise("")
+    area = F.when(given != "", F.substring(F.upper(given), 1, 30)).otherwise(S.detect_area(desc))
+    text = F.when(desc != "", desc).otherwise(work)
+    task = F.when(under & F.col("interval").isNotNull() & ~F.coalesce(F.col("snapped") < 8, F.lit(False)), _made(_ord(0, "page_no", "table_idx", "row_idx"), area, S.detect_action(work), text, F.col("interval"), _part()))
+    return rows.withColumn("by_header", _several(F.array(task)))
+
+
+def _with_interval_column_tasks(rows: DataFrame) -> DataFrame:
+    """Add ``by_column``, a task for each marked cell below an interval of the first row."""
     def hours(c: Column) -> Column:
         found, digits = S.detect_interval(c), F.regexp_replace(c, "[,.]", "")
         number = F.when(F.rlike(digits, F.lit(r"^\d{2,6}$")), digits.try_cast("int"))
         snapped = S.snap_interval(number)
         return F.when((found > 0) & (found >= 8), found).when(S.is_valid_interval(number) | S.is_valid_interval(snapped), snapped)
 
-    head = rows.where("row_idx = 0").select("manual_id", "page_no", "table_idx", F.transform("cells", hours).alias("iv"))
-    head = head.where(F.size(F.filter("iv", lambda v: v.isNotNull())) >= 2)
-    head = head.withColumn("d", F.greatest(F.array_position(F.transform("iv", lambda v: v.isNull()), True) - 1, F.lit(0)).cast("int"))
-    rows = rows.where("row_idx > 0").join(head, ["manual_id", "page_no", "table_idx"])
-    rows = rows.withColumn("text", F.get("cells", F.col("d"))).where(F.length("text") >= 5)
-    rows = rows.select("manual_id", "page_no", "table_idx", "row_idx", "text", "cells", F.posexplode("iv").alias("col_idx", "interval")).where("interval IS NOT NULL")
-    cell = F.get("cells", F.col("col_idx"))
-    rows = rows.where(F.rlike(cell, F.lit(R.CHECK_MARK)) | F.lower(cell).isin(*R.CHECK_WORDS))
-    return _tasks(rows, _ord("page_no", "table_idx", "row_idx", "col_idx"), S.detect_area(F.col("text")), S.detect_action(F.col("text")), F.col("text"), F.col("interval"))
+    top = F.when((F.col("row_idx") == 0) & (F.col("n_rows") >= 3), F.transform("cells", hours))
+    rows = rows.withColumn("iv", F.first(top, ignorenulls=True).over(_running(rows)))
+    many = F.size(F.filter("iv", lambda v: v.isNotNull())) >= 2
+    d = F.greatest(F.array_position(F.transform("iv", lambda v: v.isNull()), True) - 1, F.lit(0)).cast("int")
+    text = F.get("cells", d)
+    mark = lambda c: F.rlike(c, F.lit(R.CHECK_MARK)) | F.lower(c).isin(*R.CHECK_WORDS)
+    one = lambda v, i: F.when(v.isNotNull() & mark(F.get("cells", i)), _made(_ord(1, "page_no", "table_idx", "row_idx", i), S.detect_area(text), S.detect_action(text), text, v))
+    tasks = F.when(many & (F.col("row_idx") > 0) & (F.length(text) >= 5), _several(F.transform("iv", one)))
+    return rows.withColumn("by_column", F.coalesce(tasks, F.array().cast(NO_TASKS)))
 
 
-def generic_table_tasks(pages: DataFrame) -> DataFrame:
-    """Tasks of rows with a bare number near a valid interval, whatever the table's heading."""
-    rows = table_rows(pm_candidate_pages(pages)).where(F.size("cells") >= 3)
+def _with_generic_tasks(rows: DataFrame) -> DataFrame:
+    """Add ``by_number``, the task of a row with a bare number near a valid interval."""
     fits = lambda v: S.is_valid_interval(S.snap_interval(v))
     numbers = F.transform(F.filter("cells", lambda c: F.rlike(c, F.lit(r"^\d{2,6}$"))), lambda c: c.cast("int"))
-    rows = rows.withColumn("interval", S.snap_interval(F.get(F.filter(numbers, fits), F.lit(0)))).where("interval IS NOT NULL")
-    parts = F.filter("cells", lambda c: (F.length(c) > 3) & (c != F.col("interval").cast("string")))
-    rows = rows.withColumn("text", F.array_join(F.slice(parts, 1, 4), " - ")).where("text <> ''")
-    return _tasks(rows, _ord("page_no", "table_idx", "row_idx"), S.detect_area(F.col("text")), S.detect_action(F.col("text")), F.col("text"), F.col("interval"), _part())
+    rows = rows.withColumn("number", F.when(F.size("cells") >= 3, S.snap_interval(F.get(F.filter(numbers, fits), F.lit(0)))))
+    parts = F.filter("cells", lambda c: (F.length(c) > 3) & (c != F.col("number").cast("string")))
+    rows = rows.withColumn("joined", F.when(F.col("number").isNotNull(), F.array_join(F.slice(parts, 1, 4), " - ")))
+    text = F.col("joined")
+    task = F.when(text != "", _made(_ord(2, "page_no", "table_idx", "row_idx"), S.detect_area(text), S.detect_action(text), text, F.col("number"), _part()))
+    return rows.withColumn("by_number", _several(F.array(task)))
+
+
+def header_table_tasks(pages: DataFrame) -> DataFrame:
+    """Tasks of tables with a heading row: one of the first four rows whose cells name two roles, interval or action among them.
+
+    A row without an interval takes the last one of its table. Rows too short for the
+    columns that the heading names are left out.
+    """
+    return _exploded(_with_header_tasks(table_rows(pm_candidate_pages(pages))), "by_header")
+
+
+def interval_column_tasks(pages: DataFrame) -> DataFrame:
+    """Tasks of tables whose first row has two interval headings or more: a task for each marked cell."""
+    return _exploded(_with_interval_column_tasks(table_rows(pm_candidate_pages(pages))), "by_column")
+
+
+def generic_table_tasks(pages: DataFrame) -> DataFrame:
+    """Tasks of rows with a bare number near a valid interval, whatever the table's heading."""
+    return _exploded(_with_generic_tasks(table_rows(pm_candidate_pages(pages))), "by_number")
 
 
 # Patterns that name an interval and a task in running text; group 1 is the number, group 2 the task.
@@ -119,44 +158,63 @@ def _hit(unit: int):
     return lambda x: F.struct(S.snap_interval(F.regexp_replace(x["n"], "[,.]", "").try_cast("int") * unit).alias("iv"), S.strip(x["t"]).alias("t"))
 
 
-def text_pattern_tasks(pages: DataFrame) -> DataFrame:
-    """Tasks that running text names with their interval, and bullets under the last interval named, over pages in order."""
-    rows = pm_candidate_pages(pages).select("manual_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
-    flags = "(?iud)"
+def _with_text_tasks(rows: DataFrame) -> DataFrame:
+    """Add ``by_text``, the tasks of a page's running text; every pattern runs once over a page, its groups are taken from the matches."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    flags, has_digit = "(?iud)", F.rlike("text", F.lit(r"\d"))
     anchors, found = {}, []
+
+    def pairs(p: str) -> Column:
+        whole = F.regexp_extract_all("text", F.lit(p), F.lit(0))
+        return F.transform(whole, lambda m: F.struct(F.regexp_extract(m, p, 1).alias("n"), F.regexp_extract(m, p, 2).alias("t")))
+
     for k, (pattern, unit) in enumerate(TEXT_PATTERNS, 1):
-        multi = "(?iudm)" if k == 2 else flags
-        group = lambda g, p=multi + pattern: F.regexp_extract_all("text", F.lit(p), F.lit(g))
-        hits = F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("t")), _hit(unit))
+        hits = F.transform(pairs(("(?iudm)" if k == 2 else flags) + pattern), _hit(unit))
         hits = F.filter(hits, lambda x: x["iv"].isNotNull())
         if k < 5:
             hits = F.filter(hits, lambda x: S.is_valid_interval(x["iv"]))
-        rows = rows.withColumn(f"h{k}", hits)
+        rows = rows.withColumn(f"h{k}", F.when(has_digit, hits).otherwise(F.array().cast("array<struct<iv:int,t:string>>")))
         long_ = F.filter(f"h{k}", lambda x: F.length(x["t"]) > 10)
         anchor = F.col(f"h{k}") if k == 1 else F.filter(long_, lambda x: ~S.is_non_pm(x["t"])) if k == 5 else long_
         anchors[k] = F.try_element_at(anchor, F.lit(-1))["iv"]
         found.append((k, long_))
     sections = F.filter(F.transform(F.regexp_extract_all("text", F.lit(flags + SECTION_PATTERN), F.lit(1)), lambda x: S.snap_interval(F.regexp_replace(x, "[,.]", "").try_cast("int"))), S.is_valid_interval)
-    anchors[6] = F.try_element_at(sections, F.lit(-1))
+    anchors[6] = F.when(has_digit, F.try_element_at(sections, F.lit(-1)))
     rows = rows.withColumn("page_anchor", F.coalesce(*[anchors[k] for k in (6, 5, 4, 3, 2, 1)]))
     order = W.partitionBy("manual_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("anchor", F.last("page_anchor", ignorenulls=True).over(order))
     bullets = F.transform(F.regexp_extract_all("text", F.lit(flags + BULLET_PATTERN), F.lit(1)), lambda x: F.struct(F.col("anchor").alias("iv"), S.strip(x).alias("t")))
     bullets = F.when(F.col("anchor").isNotNull(), F.filter(bullets, lambda x: F.length(x["t"]) > 10)).otherwise(F.array().cast("array<struct<iv:int,t:string>>"))
-    ranked = lambda k, a: F.transform(a, lambda x, i: F.struct(F.lit(k).alias("strategy"), i.alias("match_idx"), x["iv"].cast("int").alias("iv"), x["t"].alias("t")))
-    everything = F.concat(*[ranked(k, a) for k, a in found], ranked(7, bullets))
-    rows = rows.select("manual_id", "page_no", F.explode(everything).alias("m")).select("manual_id", "page_no", "m.*")
-    return _tasks(rows, _ord("page_no", "strategy", "match_idx"), S.detect_area(F.col("t")), S.detect_action(F.col("t")), F.col("t"), F.col("iv"))
+    ranked = lambda k, a: F.transform(a, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x["iv"].cast("int").alias("iv"), x["t"].alias("t")))
+    hits = F.concat(*[ranked(k, a) for k, a in found], ranked(7, bullets))
+    everything = F.transform(hits, lambda x: _made(_ord(3, "page_no", x["k"], x["i"]), S.detect_area(x["t"]), S.detect_action(x["t"]), x["t"], x["iv"]))
+    return rows.withColumn("by_text", _several(everything)).drop("page_anchor", "anchor", *[f"h{k}" for k, _ in found])
+
+
+def text_pattern_tasks(pages: DataFrame) -> DataFrame:
+    """Tasks that running text names with their interval, and bullets under the last interval named, over pages in order."""
+    return _exploded(_with_text_tasks(pm_candidate_pages(pages).select("manual_id", "page_no", "text")), "by_text")
 
 
 def extract_from_pages(pages: DataFrame) -> DataFrame:
-    """All strategies together: each finalized, then finalized again; tables come before text."""
-    parts = []
-    header = header_table_tasks(pages).withColumn("ord", F.col("ord")).unionByName(interval_column_tasks(pages).withColumn("ord", (F.col("ord") + F.expr("cast('1000000000000000000000000' AS decimal(38,0))")).cast("decimal(38,0)")))
-    for k, raw in enumerate((header, generic_table_tasks(pages), text_pattern_tasks(pages))):
-        done = finalize_tasks(raw)
-        parts.append(done.withColumn("ord", (F.col("ord") + k * 10_000_000).cast("bigint")))
-    return finalize_tasks(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """All strategies together: each finalized, then finalized again; tables come before text.
+
+    Pages are dealt by manual once. Candidate pages, intervals carried along pages and tables, and
+    both rounds of finalizing keep that partitioning.
+    """
+    rows = _with_text_tasks(pm_candidate_pages(pages).select("manual_id", "page_no", "text", "tables"))
+    # beside the tables a page has one more, with a single row that carries what its text gave
+    none, text_only = F.array().cast("array<array<string>>"), F.col("table_idx") == 0
+    rows = rows.select("manual_id", "page_no", "by_text", F.concat(F.array(F.array(F.array().cast("array<string>"))), F.coalesce("tables", F.array(none))).alias("tables"))
+    rows = table_rows(rows, "by_text")
+    for add in (_with_header_tasks, _with_interval_column_tasks, _with_generic_tasks):
+        rows = add(rows)
+    rows = rows.withColumn("by_text", F.when(text_only, F.col("by_text")).otherwise(F.array().cast(NO_TASKS)))
+    rows = _exploded(rows, "by_header", "by_column", "by_number", "by_text")
+    # headings and interval columns are one strategy
+    rows = rows.withColumn("source", F.greatest(F.col("ord.strategy"), F.lit(1)))
+    done = finalize_tasks(rows, "source")
+    return finalize_tasks(done.withColumn("ord", F.struct("source", "ord")).drop("source"))
 
 
 def pmrspl_tasks(pages: DataFrame) -> DataFrame:
@@ -185,7 +243,7 @@ def pmrspl_tasks(pages: DataFrame) -> DataFrame:
     comp = F.coalesce(cell(F.greatest(F.col("iv_col") - 4, F.lit(0))), F.lit(""))
     rows = rows.withColumns({"interval_hours": iv, "comp": comp, "label": F.coalesce(cell(F.lit(1)), F.lit("")), "part": cell(F.col("iv_col") + 2), "does": F.when(S.any_match(action, ["change", "replace"]), "REPLACE").otherwise("CHECK")})
     rows = rows.where(F.col("interval_hours").isin(*R.WIDE_INTERVALS) & S.any_match(action, R.WIDE_ACTIONS)).withColumn("kept", ~S.any_match(F.lower("comp"), R.WIDE_SKIP))
-    rows = rows.withColumn("ord", _ord("page_no", "table_idx", "row_idx"))
+    rows = rows.withColumn("ord", _ord(0, "page_no", "table_idx", "row_idx"))
     key = W.partitionBy("manual_id", "label", "interval_hours")
     rows = rows.withColumn("first_ord", F.min(F.when(F.col("kept"), F.col("ord"))).over(key)).where(F.col("ord") >= F.col("first_ord"))
     firsts = rows.where("ord = first_ord").select("manual_id", "page_no").distinct().withColumn("adds", F.lit(True))

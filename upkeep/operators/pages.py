@@ -12,25 +12,30 @@ from upkeep.functions import scalars as S
 FALLBACK_PAGES = 600
 
 
-def classification_sample(pages: DataFrame, max_pages: int = 50, enough: int = 60_000, cut: int = 15_000) -> DataFrame:
+def classification_sample(pages: DataFrame, max_pages: int | None = 50, enough: int = 60_000, cut: int = 15_000) -> DataFrame:
     """Start of each manual's text: pages until ``enough`` characters are reached, joined by line ends."""
     order = W.partitionBy("manual_id").orderBy("page_no")
     before = F.coalesce(F.sum(F.length("t") + 1).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = pages.where(F.col("page_no") <= max_pages).select("manual_id", "page_no", F.coalesce("text", F.lit("")).alias("t"))
+    rows = pages if max_pages is None else pages.where(F.col("page_no") <= max_pages)
+    rows = rows.select("manual_id", "page_no", F.coalesce("text", F.lit("")).alias("t"))
     rows = rows.withColumn("before", before).where(F.col("before") < enough)
     joined = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "t"))), lambda x: x["t"]), "\n"), F.lit("\n"))
     return rows.groupBy("manual_id").agg(F.substring(joined, 1, cut).alias("sample"))
 
 
-def pm_candidate_pages(pages: DataFrame) -> DataFrame:
-    """Pages with maintenance words, the page before and two after; manuals without any keep their first pages."""
+def pm_candidate_pages(pages: DataFrame, fallback_pages: int | None = FALLBACK_PAGES) -> DataFrame:
+    """Pages with maintenance words, the page before and two after; manuals without any keep their first pages (all, with None).
+
+    Pages are dealt by manual before their text is looked at, so that few large files don't mean few tasks.
+    """
     hit = F.rlike(F.coalesce("text", F.lit("")), F.lit(f"(?iu){R.CANDIDATE}")).cast("int")
     manual = W.partitionBy("manual_id")
-    rows = pages.withColumn("hit", hit)
+    rows = pages.repartition("manual_id").withColumn("hit", hit)
     near = F.max("hit").over(manual.orderBy("page_no").rangeBetween(-2, 1))
     any_hit = F.max("hit").over(manual)
     rows = rows.withColumns({"near": near, "any_hit": any_hit})
-    return rows.where((F.col("near") == 1) | (F.col("any_hit") == 0) & (F.col("page_no") <= FALLBACK_PAGES)).drop("hit", "near", "any_hit")
+    first = F.lit(True) if fallback_pages is None else F.col("page_no") <= fallback_pages
+    return rows.where((F.col("near") == 1) | (F.col("any_hit") == 0) & first).drop("hit", "near", "any_hit")
 
 
 def pm_page_pool(pages: DataFrame, pool: DataFrame, first: int = 120) -> DataFrame:
@@ -43,15 +48,17 @@ def pm_page_pool(pages: DataFrame, pool: DataFrame, first: int = 120) -> DataFra
     return new.unionByName(pool.select("manual_id", (F.col("ord") + first).cast("bigint").alias("ord"), "text", "page_start", "page_end"))
 
 
-def table_scan_pages(pages: DataFrame, first: int = 80) -> DataFrame:
+def table_scan_pages(pages: DataFrame, first: int | None = 80) -> DataFrame:
     """Early pages that name maintenance work, with the interval the page's text names."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    return pages.where((F.col("page_no") <= first) & S.any_match(low, R.TABLE_SCAN_WORDS)).withColumn("page_interval", S.detect_interval(low))
+    near = F.lit(True) if first is None else F.col("page_no") <= first
+    return pages.where(near & S.any_match(low, R.TABLE_SCAN_WORDS)).withColumn("page_interval", S.detect_interval(low))
 
 
-def fallback_citations(pages: DataFrame, citations: DataFrame, first_pages: int = 150, most: int = 25) -> DataFrame:
+def fallback_citations(pages: DataFrame, citations: DataFrame, first_pages: int | None = 150, most: int = 25) -> DataFrame:
     """Evidence for manuals without citations: their first pages that name maintenance work."""
-    rows = pages.where(F.col("page_no") <= first_pages).join(citations.select("manual_id").distinct(), "manual_id", "left_anti")
+    rows = pages if first_pages is None else pages.where(F.col("page_no") <= first_pages)
+    rows = rows.join(citations.select("manual_id").distinct(), "manual_id", "left_anti")
     rows = rows.where(S.any_match(F.lower(F.coalesce("text", F.lit(""))), R.EVIDENCE_WORDS))
     rows = rows.withColumn("rn", F.row_number().over(W.partitionBy("manual_id").orderBy("page_no"))).where(F.col("rn") <= most)
     return rows.select("manual_id", F.concat(F.lit("fallback_p"), F.col("page_no").cast("string")).alias("chunk_id"), F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"), F.lit("procedure").alias("content_type"), F.substring("text", 1, 500).alias("text_excerpt"))

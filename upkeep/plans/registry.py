@@ -256,7 +256,7 @@ def j4_approval_counts(spark, d):
 @query()
 def j9_library_fallback(spark, d):
     u, m, t, e = _t(spark, d, "manual_uploads", "machines", "tasks", "extracted")
-    return library.library_fallback(u.where("status = 'FAILED'"), m, t.where("task_no <= 30"), e)
+    return library.library_fallback(u.where("status = 'FAILED'"), m, t, e)
 
 
 @query("""SELECT manual_id, interval_hours, count(*) AS task_count, concat(CAST(interval_hours AS VARCHAR), 'h') AS label FROM {extracted} GROUP BY ALL""")
@@ -349,10 +349,10 @@ def f4_table_scan_pages(spark, d):
 
 
 @query(f"""SELECT manual_id, concat('fallback_p', CAST(page_no AS VARCHAR)) AS chunk_id, substr(text, 1, 500) AS text_excerpt FROM (SELECT *, row_number() OVER (PARTITION BY manual_id ORDER BY page_no) AS rn
-    FROM {{pages}} WHERE page_no <= 150 AND {WORDS_SQL(R.EVIDENCE_WORDS)} AND manual_id NOT IN ('src1', 'src2')) WHERE rn <= 25""")
+    FROM {{pages}} WHERE page_no <= 150 AND {WORDS_SQL(R.EVIDENCE_WORDS)} AND manual_id NOT IN ('m1', 'm2')) WHERE rn <= 25""")
 def w9_fallback_citations(spark, d):
     p = _pages(spark, d)
-    return pages.fallback_citations(p, p.where("manual_id IN ('src1', 'src2')").select("manual_id")).select("manual_id", "chunk_id", "text_excerpt")
+    return pages.fallback_citations(p, p.where("manual_id IN ('m1', 'm2')").select("manual_id")).select("manual_id", "chunk_id", "text_excerpt")
 
 
 @query(f"""SELECT manual_id, page_start, substr(text, 1, 3000) AS text FROM (SELECT manual_id, page_no AS page_start, text, row_number() OVER (PARTITION BY manual_id ORDER BY page_no) AS rn FROM {CANDIDATE_SQL}
@@ -493,7 +493,7 @@ def j1_merge_task_sources(spark, d):
 
 
 def _chunk_pool(spark, d):
-    p = domain_table(spark, d, "pages").where("page_no <= 20")
+    p = domain_table(spark, d, "pages")
     return p.select(F.regexp_extract("manual_id", r"(\d+)$", 1).cast("bigint").alias("manual_id"), F.col("page_no").alias("ord"), "text", F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"))
 
 
@@ -502,9 +502,9 @@ def j2_assign_citations(spark, d):
     return tasks.assign_citations(domain_table(spark, d, "extracted"), _chunk_pool(spark, d))
 
 
-@query("""SELECT manual_id, count(*) FILTER (WHERE manual_id >= 20) AS unverified FROM {extracted} GROUP BY manual_id""")
+@query("""SELECT manual_id, count(*) FILTER (WHERE manual_id % 20 <> 0) AS unverified FROM {extracted} GROUP BY manual_id""")
 def j3_mark_verified(spark, d):
-    return tasks.mark_verified(domain_table(spark, d, "extracted"), _chunk_pool(spark, d).select("manual_id").where("manual_id < 20"))[1]
+    return tasks.mark_verified(domain_table(spark, d, "extracted"), domain_table(spark, d, "manual_uploads").select("manual_id").where("manual_id % 20 = 0"))[1]
 
 
 @query("""SELECT manual_id, interval_hours, task_no, area, action, description, machine_state, safety_flag FROM {extracted}""")
@@ -518,11 +518,11 @@ def s17_parse_and_repair_model_output(spark, d):
 
 # scalars over whole tables
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 3000 WHEN doc_id % 7 = 1 THEN 500 WHEN doc_id % 7 = 2 THEN doc_id * 6000 WHEN doc_id % 7 = 3 THEN doc_id ELSE NULL END AS hours FROM (SELECT doc_id FROM documents WHERE doc_id < 100000)""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 3000 WHEN doc_id % 7 = 1 THEN 500 WHEN doc_id % 7 = 2 THEN doc_id * 6000 WHEN doc_id % 7 = 3 THEN doc_id ELSE NULL END AS hours FROM documents""")
 def s1_detect_interval(spark, d):
     n = F.col("doc_id").cast("string")
     text = F.when(F.col("doc_id") % 7 == 0, "Semi-Annual service").when(F.col("doc_id") % 7 == 1, "monthly").when(F.col("doc_id") % 7 == 2, F.concat(F.lit("in "), n, F.lit(" years"))).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("each "), n, F.lit(" operating hours"))).otherwise("none")
-    return domain_table(spark, d, "documents").where("doc_id < 100000").select("doc_id", S.detect_interval(text).cast("bigint").alias("hours"))
+    return domain_table(spark, d, "documents").select("doc_id", S.detect_interval(text).cast("bigint").alias("hours"))
 
 
 @query()

@@ -1,7 +1,8 @@
 """The given tables as tables of the maintenance domain.
 
 Each mapping is one SELECT that Spark SQL and DuckDB read alike, so that a query and
-its check start from the same rows. ``{name}`` stands for a table or another mapping.
+its check start from the same rows. ``{name}`` stands for a table or another mapping. Every row of a table is
+mapped; where two tables are joined, a key that both have decides which rows meet, so results grow with the tables.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ MAPPINGS = {
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) AS t""",
     "pm_records": """
         SELECT o_orderkey AS record_id,
-               concat('M', lpad(cast(o_custkey % (SELECT count(*) FROM {supplier}) AS string), 5, '0')) AS machine_id,
+               concat('M', lpad(cast(o_custkey % 100 AS string), 5, '0')) AS machine_id,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 8 WHEN '2' THEN 120 WHEN '3' THEN 500 WHEN '4' THEN 1500 ELSE 3000 END AS interval_hours,
                concat('WO-', cast(o_orderkey AS string)) AS work_order,
                concat('T', cast(o_custkey % 17 AS string)) AS technician_id,
@@ -50,21 +51,22 @@ MAPPINGS = {
         FROM {orders}""",
     "machine_hours": """
         SELECT event_id AS entry_id,
-               concat('M', lpad(cast(user_id % (SELECT count(*) FROM {supplier}) AS string), 5, '0')) AS machine_id,
+               concat('M', lpad(cast(user_id % 100 AS string), 5, '0')) AS machine_id,
                cast(floor(value * 100) AS bigint) AS current_hours, ts AS recorded_at
-        FROM {events} WHERE (user_id % (SELECT count(*) FROM {supplier})) % 8 <> 0""",
+        FROM {events} WHERE (user_id % 100) % 8 <> 0""",
     "submissions": """
         SELECT r.record_id AS record_id, t.task_id AS task_id, t.task_no AS task_no, t.task_no % 3 = 0 AS is_done,
                concat('I', cast(t.task_no % 7 AS string)) AS initialed_by, r.created_at AS submitted_at
         FROM {pm_records} r JOIN {tasks} t ON r.machine_id = t.machine_id AND r.interval_hours = t.interval_hours
-        WHERE r.record_id % 97 = 0 AND t.is_active AND t.task_no % 4 <> 0""",
+             AND t.task_no % 80 = (r.record_id % 8) * 10
+        WHERE t.is_active""",
     "audit_logs": """
         SELECT event_id AS log_id, event_type AS action,
                CASE event_id % 3 WHEN 0 THEN 'TASK' WHEN 1 THEN 'MACHINE' ELSE 'RECORD' END AS resource_type,
                event_id % 100 AS resource_id, props AS details, ts AS logged_at
         FROM {events}""",
     "manual_uploads": """
-        SELECT doc_id AS manual_id, concat('M', lpad(cast(doc_id % 20 AS string), 5, '0')) AS machine_id,
+        SELECT doc_id AS manual_id, concat('M', lpad(cast(doc_id % 100 AS string), 5, '0')) AS machine_id,
                concat('manual ', cast(doc_id AS string), '.pdf') AS original_filename,
                CASE doc_id % 5 WHEN 0 THEN 'PENDING_REVIEW' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'PROCESSING' WHEN 3 THEN 'FAILED' ELSE 'PENDING_REVIEW' END AS status,
                CASE WHEN doc_id % 3 = 0 THEN 'KRONES' WHEN doc_id % 3 = 1 THEN 'TETRA PAK' END AS detected_manufacturer,
@@ -74,15 +76,15 @@ MAPPINGS = {
         SELECT u.manual_id AS manual_id, t.interval_hours AS interval_hours, t.task_no AS task_no, t.area AS area, t.action AS action,
                t.description AS description, t.machine_state AS machine_state, t.safety_flag AS safety_flag, t.part_number AS part_number,
                t.task_id AS ord
-        FROM {manual_uploads} u JOIN {tasks} t ON u.machine_id = t.machine_id
-        WHERE u.manual_id < 40 AND t.task_no <= 200""",
+        FROM {manual_uploads} u JOIN {tasks} t ON u.machine_id = t.machine_id AND t.interval_hours =
+             CASE u.manual_id % 7 WHEN 1 THEN 8 WHEN 2 THEN 120 WHEN 3 THEN 500 WHEN 4 THEN 1500 WHEN 5 THEN 3000 WHEN 6 THEN 6000 ELSE 12000 END""",
     "approvals": """
-        SELECT event_id AS approval_id, user_id % 50 AS manual_id, (event_id % 3) * 500 AS interval_hours,
+        SELECT event_id AS approval_id, user_id AS manual_id, (event_id % 3) * 500 AS interval_hours,
                CASE WHEN event_id % 4 = 0 THEN 'REJECTED' ELSE 'APPROVED' END AS status,
                CASE WHEN event_id % 8 <> 0 THEN concat('note ', cast(event_id AS string)) END AS comment, ts AS created_at
         FROM {events}""",
     "pages": """
-        SELECT source AS manual_id, cast(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS int) AS page_no,
+        SELECT concat('m', cast(cast(floor(doc_id / 100) AS bigint) AS string)) AS manual_id, cast(doc_id % 100 + 1 AS int) AS page_no,
                concat(CASE doc_id % 9 WHEN 0 THEN concat('Replace the oil filter every 500 hours: replace the main oil filter and gasket', chr(10),
                                                          '1000h - clean the conveyor chain and sensor', chr(10))
                                       WHEN 1 THEN concat('Every 3 months: lubricate the drive bearing with grease', chr(10)) ELSE '' END, text) AS text

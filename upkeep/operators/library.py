@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from upkeep.functions import rules as R
+
 STATES = ("RUNNING", "STOPPED", "POWERED_OFF")
 
 
@@ -132,19 +134,7 @@ def interval_counts(tasks: DataFrame) -> DataFrame:
     return tasks.where("interval_hours <> 0").groupBy("manual_id", "interval_hours").agg(F.count("*").alias("task_count")).withColumn("label", F.concat(F.col("interval_hours").cast("string"), F.lit("h")))
 
 
-#: Notes that follow each other under the work of one verb; a caller may give its own.
-NOTES = {
-    "REPLACE": ["Isolate first, then test for leaks.", "Fit the new part and run a function test.", "Release pressure before removal."],
-    "CHECK": ["Record the condition found.", "Report anything out of limits.", "Raise a work order for defects."],
-    "INSPECT": ["Look at alignment and fasteners.", "Note wear and damage."],
-    "CLEAN": ["Remove all residue.", "Dry before closing."],
-    "LUBRICATE": ["Use the specified grade.", "Wipe off excess."],
-    "VERIFY": ["Compare with the specification.", "Record the values read."],
-    "TEST": ["Record pass or fail.", "Don't restart after a failure."],
-}
-
-
-def interval_sheet_rows(tasks: DataFrame, machines: DataFrame, notes: dict[str, list[str]] = NOTES) -> DataFrame:
+def interval_sheet_rows(tasks: DataFrame, machines: DataFrame, notes: dict[str, list[str]] = R.NOTES) -> DataFrame:
     """Rows of a sheet for each machine and interval, numbered anew, with title, file name, area label and a rotating note.
 
     Missing values count as GENERAL, CHECK and interval 0.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from upkeep.functions import rules as R
 from upkeep.functions import scalars as S
 from upkeep.operators import chunks, extract, history, library, pages, retrieve, tasks, validate
+from upkeep.plans import sql as Q
 from upkeep.sources import files
 from upkeep.sources.adapters import domain_table, with_domain
 
@@ -110,7 +111,10 @@ def a5_pm_predictions(spark, d):
     return history.pm_predictions(_risk(spark, d))
 
 
-@query()
+@query(f"""SELECT * FROM (WITH risk AS (SELECT * FROM {RISK_SQL}), totals AS (SELECT count(*) FILTER (WHERE risk = 'HIGH') AS high, coalesce(sum(completions), 0) AS done FROM risk)
+    SELECT 'pattern' AS kind, CAST(row_number() OVER (ORDER BY machine_id) AS INT) AS ord, concat(name, ': ', CAST(completions AS VARCHAR), ' completions of the 500h service') AS text FROM (SELECT * FROM risk WHERE interval_hours = 500 AND completions > 1 ORDER BY machine_id LIMIT 5)
+    UNION ALL SELECT 'advice', CAST(row_number() OVER (ORDER BY k) AS INT), text FROM (SELECT 1 AS k, concat('Schedule ', CAST(high AS VARCHAR), ' overdue services') AS text FROM totals WHERE high > 0
+        UNION ALL SELECT 2, 'Record services to build a history' FROM totals WHERE done = 0 UNION ALL SELECT 3, 'Update hour readings weekly'))""")
 def a6_pm_patterns_and_advice(spark, d):
     return history.pm_patterns_and_advice(_risk(spark, d))
 
@@ -229,7 +233,7 @@ def w7_checklist_rows(spark, d):
     return library.checklist_rows(*_t(spark, d, "tasks"))
 
 
-@query()
+@query(Q.SHEET)
 def w8_interval_sheet_rows(spark, d):
     return library.interval_sheet_rows(*_t(spark, d, "tasks", "machines"))
 
@@ -253,7 +257,7 @@ def j4_approval_counts(spark, d):
     return _approve(spark, d)[1]
 
 
-@query()
+@query(Q.FALLBACK)
 def j9_library_fallback(spark, d):
     u, m, t, e = _t(spark, d, "manual_uploads", "machines", "tasks", "extracted")
     return library.library_fallback(u.where("status = 'FAILED'"), m, t, e)
@@ -304,7 +308,9 @@ def io6_history_export(spark, d):
     return files.history_export(*_t(spark, d, "pm_records", "machines"))
 
 
-@query()
+@query("""SELECT m.machine_id AS "Machine ID", m.name AS "Machine", i.hours AS "Interval Hours", i.label AS "Label", t.task_no AS "Task No", t.area AS "Area", t.action AS "Action", t.description AS "Description", t.machine_state AS "State",
+    CASE WHEN t.safety_flag THEN 'YES' ELSE 'NO' END AS "Safety", coalesce(t.part_number, '') AS "Part Number"
+    FROM {machines} m JOIN {pm_intervals} i ON m.machine_id = i.machine_id JOIN {tasks} t ON t.machine_id = m.machine_id AND t.interval_hours = i.hours WHERE m.is_active AND t.is_active""")
 def io6_library_export(spark, d):
     return files.library_export(j5_library_register(spark, d))
 
@@ -391,16 +397,16 @@ def x7_header_table_tasks(spark, d):
     return tasks.finalize_tasks(extract.header_table_tasks(_table_pages(spark, d))).select("manual_id", "interval_hours", "area", "description", "task_no")
 
 
-@query()
+@query(Q.GENERIC)
 def x9_generic_table_tasks(spark, d):
-    return extract.generic_table_tasks(_table_pages(spark, d))
+    return extract.generic_table_tasks(_table_pages(spark, d)).drop("ord")
 
 
-@query()
+@query(Q.INTERVAL_COLUMNS)
 def x8_interval_column_tasks(spark, d):
     p = _table_pages(spark, d)
     marked = F.transform(F.get("tables", F.lit(0)), lambda r, i: F.when(i == 0, F.array(F.lit("Task"), F.lit("Daily"), F.lit("500 h"), F.lit("2,500"))).otherwise(F.array(F.get(r, F.lit(2)), F.when(i % 2 == 0, F.lit("x")).otherwise(""), F.when(i % 3 == 0, F.lit("✓")).otherwise(""), F.when(i % 5 == 0, F.lit("yes")).otherwise(""))))
-    return extract.interval_column_tasks(p.withColumn("tables", F.array(marked)))
+    return extract.interval_column_tasks(p.withColumn("tables", F.array(marked))).drop("ord")
 
 
 @query()
@@ -418,23 +424,23 @@ def u1_extract_from_pages(spark, d):
     return extract.extract_from_pages(t.unionByName(p.withColumn("tables", F.lit(None).cast("array<array<array<string>>>"))))
 
 
-@query()
+@query(Q.TABLE_CHUNKS)
 def x5_table_row_chunks(spark, d):
     return chunks.table_row_chunks(_table_pages(spark, d))
 
 
-@query()
+@query(f"SELECT * FROM {Q.SECTIONS}")
 def x2_section_chunks(spark, d):
     return chunks.section_chunks(_pages(spark, d))
 
 
-@query()
+@query(f"""SELECT manual_id, CAST(ord AS INT) AS ord, chunk AS text, a AS char_start, a + length(chunk) AS char_end, 0 AS page_start, 0 AS page_end, 'text' AS chunk_type FROM {Q.windows('(SELECT doc_id AS manual_id, text FROM documents)')}""")
 def x1_sliding_chunks(spark, d):
     docs = domain_table(spark, d, "documents").select(F.col("doc_id").alias("manual_id"), "text")
     return chunks.sliding_chunks(docs)
 
 
-@query()
+@query(f"SELECT * FROM {Q.CHUNKS}")
 def u2_chunk_pages(spark, d):
     return chunks.chunk_pages(_pages(spark, d).withColumn("tables", F.lit(None).cast("array<array<array<string>>>")))
 
@@ -444,30 +450,30 @@ def x6_markdown_chunks(spark, d):
     return chunks.markdown_chunks(domain_table(spark, d, "documents").select(F.col("doc_id").alias("manual_id"), "text"))
 
 
-@query()
+@query(f"SELECT * FROM {Q.POOL}")
 def w5_balanced_pool(spark, d):
     return chunks.balanced_pool(u2_chunk_pages(spark, d))
 
 
-@query()
+@query(f"SELECT manual_id, chunk_type, count(*) AS n FROM {Q.CHUNKS} GROUP BY ALL")
 def a8_chunk_type_counts(spark, d):
     return chunks.chunk_type_counts(u2_chunk_pages(spark, d))
 
 
-@query()
+@query(f"""SELECT DISTINCT manual_id, hours FROM (SELECT manual_id, interval_hint AS hours FROM {Q.CHUNKS} WHERE interval_hint >= 8 UNION ALL SELECT manual_id, unnest([500, 1000, 2000, 5000, 10000]) FROM (SELECT DISTINCT manual_id FROM {{pages}}))""")
 def a13_interval_hints(spark, d):
-    made = domain_table(spark, d, "documents").select(F.col("source").alias("manual_id"), F.lit("SIG").alias("manufacturer")).distinct()
-    return chunks.interval_hints(u2_chunk_pages(spark, d), made)
+    made = _pages(spark, d).select("manual_id", F.lit("SIG").alias("manufacturer")).distinct()
+    return chunks.interval_hints(u2_chunk_pages(spark, d), made).select("manual_id", F.explode("intervals").alias("hours"))
 
 
-@query()
+@query(Q.PROMPTS)
 def b1_prompt_batches(spark, d):
     return tasks.prompt_batches(w5_balanced_pool(spark, d))
 
 
-@query()
+@query(Q.EMBED)
 def b2_embed_batches(spark, d):
-    return tasks.embed_batches(w5_balanced_pool(spark, d))
+    return tasks.embed_batches(w5_balanced_pool(spark, d)).select("manual_id", "batch_no", F.posexplode("inputs").alias("item", "input"))
 
 
 # tasks
@@ -497,7 +503,7 @@ def _chunk_pool(spark, d):
     return p.select(F.regexp_extract("manual_id", r"(\d+)$", 1).cast("bigint").alias("manual_id"), F.col("page_no").alias("ord"), "text", F.col("page_no").alias("page_start"), F.col("page_no").alias("page_end"))
 
 
-@query()
+@query(Q.CITED)
 def j2_assign_citations(spark, d):
     return tasks.assign_citations(domain_table(spark, d, "extracted"), _chunk_pool(spark, d))
 
@@ -518,24 +524,22 @@ def s17_parse_and_repair_model_output(spark, d):
 
 # scalars over whole tables
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 3000 WHEN doc_id % 7 = 1 THEN 500 WHEN doc_id % 7 = 2 THEN doc_id * 6000 WHEN doc_id % 7 = 3 THEN doc_id ELSE NULL END AS hours FROM documents""")
+@query(f"SELECT doc_id, {Q.detect_interval('text')} AS hours FROM documents")
 def s1_detect_interval(spark, d):
-    n = F.col("doc_id").cast("string")
-    text = F.when(F.col("doc_id") % 7 == 0, "Semi-Annual service").when(F.col("doc_id") % 7 == 1, "monthly").when(F.col("doc_id") % 7 == 2, F.concat(F.lit("in "), n, F.lit(" years"))).when(F.col("doc_id") % 7 == 3, F.concat(F.lit("each "), n, F.lit(" operating hours"))).otherwise("none")
-    return domain_table(spark, d, "documents").select("doc_id", S.detect_interval(text).cast("bigint").alias("hours"))
+    return domain_table(spark, d, "documents").select("doc_id", S.detect_interval(F.col("text")).alias("hours"))
 
 
-@query()
+@query(Q.CLASSES)
 def s8_classify_text(spark, d):
-    return pages.classification_sample(_pages(spark, d)).select("manual_id", S.classify_text(F.col("sample")).alias("c")).select("manual_id", "c.*")
+    return pages.classification_sample(_pages(spark, d)).select("manual_id", S.classify_text(F.col("sample")).alias("c")).select("manual_id", "c.*").withColumn("detected_chapters", F.array_join("detected_chapters", ","))
 
 
-@query()
+@query(Q.TYPES)
 def s6_content_type(spark, d):
     return domain_table(spark, d, "documents").select("doc_id", S.content_type(F.coalesce("text", F.lit("")), F.lit(""), F.lit("section")).alias("content_type"), S.manual_version(F.coalesce("text", F.lit(""))).alias("version"))
 
 
-@query()
+@query(Q.SNAPPED)
 def s2_snap_interval(spark, d):
     return domain_table(spark, d, "orders").select("o_orderkey", S.snap_interval(F.col("o_custkey").cast("int")).alias("snapped"), S.snap_interval_strict(F.col("o_custkey").cast("int")).alias("strict"))
 
@@ -546,12 +550,12 @@ def s16_document_signature(spark, d):
     return m.select("machine_id", "name", S.document_signature(F.col("machine_id"), F.lit(500), F.lit("WO"), F.col("name")).alias("signature"))
 
 
-@query()
+@query(Q.NAMES)
 def s9_names_and_labels(spark, d):
     t, m = _t(spark, d, "tasks", "machines")
     per = t.select("machine_id", "interval_hours").distinct().join(m.select("machine_id", "name", "manufacturer"), "machine_id")
     a = (F.col("machine_id"), F.col("name"))
-    return per.select("machine_id", "interval_hours", S.interval_label(F.col("interval_hours")).alias("label"), S.sheet_file_name(*a, F.col("interval_hours")).alias("file_name"), S.sheet_title(*a, F.col("interval_hours")).alias("title"), S.archive_stem(*a).alias("stem"), S.infer_machine_id(F.col("manufacturer"), F.lit(None), F.lit("")).alias("inferred"), S.guess_intervals(F.col("manufacturer")).alias("usual"))
+    return per.select("machine_id", "interval_hours", S.interval_label(F.col("interval_hours")).alias("label"), S.sheet_file_name(*a, F.col("interval_hours")).alias("file_name"), S.sheet_title(*a, F.col("interval_hours")).alias("title"), S.archive_stem(*a).alias("stem"), S.infer_machine_id(F.col("manufacturer"), F.lit(None), F.lit("")).alias("inferred"), F.array_join(S.guess_intervals(F.col("manufacturer")), ",").alias("usual"))
 
 
 # retrieval
@@ -567,19 +571,19 @@ def t1_cosine_topk(spark, d):
     return retrieve.cosine_topk(v.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "embedding"), v)
 
 
-@query()
+@query("""SELECT manual_id, i - 1 AS place, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT label AS manual_id, arg_min(embedding, vec_id) AS embedding FROM embeddings WHERE vec_id % 3 = 0 GROUP BY label), (SELECT unnest(range(1, 2000)) AS i) WHERE i <= len(embedding)""")
 def t2_proxy_query(spark, d):
     v = _vectors(spark, d).withColumns({"ord": F.col("chunk_id"), "chunk_type": F.when(F.col("chunk_id") % 3 == 0, "table_row").otherwise("text")})
-    return retrieve.proxy_query(v)
+    return retrieve.proxy_query(v).select("manual_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-@query()
+@query(f"SELECT * FROM {Q.bm25('(SELECT item_id AS query_id, text FROM benchmark)', '(SELECT doc_id AS chunk_id, text FROM documents)', 10)}")
 def t3_bm25_topk(spark, d):
     docs = domain_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return retrieve.bm25_topk(domain_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs)
 
 
-@query()
+@query(Q.hybrid("(SELECT * FROM (SELECT vec_id AS query_id, text, embedding FROM embeddings JOIN documents ON doc_id = vec_id) WHERE query_id % 100 = 0)", "(SELECT vec_id AS chunk_id, text, embedding FROM embeddings JOIN documents ON doc_id = vec_id)"))
 def t3_hybrid_topk(spark, d):
     docs = domain_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     rows = _vectors(spark, d).join(docs, "chunk_id")

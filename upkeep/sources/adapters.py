@@ -11,6 +11,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table's name in a mapping; numbers and upper-case letters in braces belong to patterns.
+NAME = r"\{([a-z]\w*)\}"
+
 MAPPINGS = {
     "machines": """
         SELECT concat('M', lpad(cast(s_suppkey AS string), 5, '0')) AS machine_id, s_name AS name,
@@ -76,7 +79,7 @@ MAPPINGS = {
         SELECT u.manual_id AS manual_id, t.interval_hours AS interval_hours, t.task_no AS task_no, t.area AS area, t.action AS action,
                t.description AS description, t.machine_state AS machine_state, t.safety_flag AS safety_flag, t.part_number AS part_number,
                t.task_id AS ord
-        FROM {manual_uploads} u JOIN {tasks} t ON u.machine_id = t.machine_id AND t.interval_hours =
+        FROM {manual_uploads} u JOIN {tasks} t ON u.machine_id = t.machine_id AND u.status <> 'FAILED' AND t.interval_hours =
              CASE u.manual_id % 7 WHEN 1 THEN 8 WHEN 2 THEN 120 WHEN 3 THEN 500 WHEN 4 THEN 1500 WHEN 5 THEN 3000 WHEN 6 THEN 6000 ELSE 12000 END""",
     "approvals": """
         SELECT event_id AS approval_id, user_id AS manual_id, (event_id % 3) * 500 AS interval_hours,
@@ -93,7 +96,7 @@ MAPPINGS = {
 
 
 def _names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(NAME, sql)))
 
 
 def domain_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,6 +118,6 @@ def with_domain(sql: str) -> str:
                 order.append(n)
 
     visit(sql)
-    bare = lambda s: re.sub(r"\{(\w+)\}", lambda m: f"d_{m[1]}" if m[1] in MAPPINGS else m[1], s)
+    bare = lambda s: re.sub(NAME, lambda m: f"d_{m[1]}" if m[1] in MAPPINGS else m[1], s)
     ctes = ",\n".join(f"d_{n} AS ({bare(MAPPINGS[n])})" for n in order)
     return (f"WITH {ctes}\n" if ctes else "") + bare(sql)

@@ -272,6 +272,76 @@ def test_streams(spark, tmp_path):
     assert {r.machine_id: r.current_hours for r in spark.table("latest_hours").collect()} == {"a": 5, "b": 1}
 
 
+def plain_text_tasks(rows):
+    """What the text patterns find, page by page with Python's own regular expressions: (manual, page, interval, task)."""
+    snap = lambda h: (n if abs((n := min(R.VALID_INTERVALS, key=lambda v: (abs(v - h), v))) - h) / max(h, 1) < 0.2 else h)
+    end = r"(?=\n|every|alle|\Z|$)"
+    hits = [re.compile(p.replace(extract.END, end).replace(r"\z", r"\Z"), re.I | (re.M if k == 1 else 0)) for k, (p, _) in enumerate(extract.TEXT_PATTERNS)]
+    section, bullet = re.compile(extract.SECTION_PATTERN, re.I), re.compile(extract.BULLET_PATTERN.replace(r"\z", r"\Z"), re.I)
+    no_work, candidate = re.compile(R.NOT_WORK, re.I), re.compile(R.CANDIDATE, re.I)
+    number = lambda n: int(re.sub("[,.]", "", n))
+    out, manuals = [], {}
+    for manual, page, text in rows:
+        manuals.setdefault(manual, {})[page] = text or ""
+    for manual, texts in manuals.items():
+        marked = {p for p, t in texts.items() if candidate.search(t)}
+        near = {p for p in texts if any(p + d in marked for d in (-2, -1, 0, 1))} if marked else {p for p in texts if p <= 600}
+        anchor = None
+        for page in sorted(near):
+            last = {}
+            for k, (p, (_, unit)) in enumerate(zip(hits, extract.TEXT_PATTERNS, strict=True), 1):
+                for m in p.finditer(texts[page]):
+                    iv, t = snap(number(m[1]) * unit), m[2].strip()
+                    if k < 5 and iv not in R.VALID_INTERVALS:
+                        continue
+                    if k == 1 or len(t) > 10 and (k < 5 or not no_work.search(t)):
+                        last[k] = iv
+                    if len(t) > 10 and not no_work.search(t):
+                        out.append((manual, page, iv, t))
+            for m in section.finditer(texts[page]):
+                if snap(number(m[1])) in R.VALID_INTERVALS:
+                    last[6] = snap(number(m[1]))
+            anchor = last[max(last)] if last else anchor
+            if anchor is not None:
+                out += [(manual, page, anchor, t) for t in (m[1].strip() for m in bullet.finditer(texts[page])) if len(t) > 10 and not no_work.search(t)]
+    return sorted((m, p, iv, re.sub(r"\s+", " ", t.upper()).strip()[:250]) for m, p, iv, t in out)
+
+
+def test_text_patterns_against_plain_python(spark):
+    r = random.Random(4)
+    parts = ["Every {n} hours: {t}\n", "{n}h - {t}\n", "each {m} months {t}. ", "alle {n} Stunden {t} every {n} hrs {t}\n", "approx. {m} years: {t}\n", "- {t}\n", "{m}) {t}\n", "{n} hour maintenance\n", "every {m} weeks: {t}\n", "no work here. ", "nach {n},000 Betriebsstunden: {t}\n", "\u2022 {t}\n", "maintenance schedule\n"]
+    words = "check clean replace the main belt oil filter of drive safety sign label pump sensor 12 every now".split()
+    fill = lambda p: p.format(n=r.choice([8, 100, 110, 500, 509, 1000, 77, 2500]), m=r.randint(1, 30), t=" ".join(r.choices(words, k=r.randint(1, 9))))
+    rows = [(f"m{i // 12}", i % 12 + 1, "".join(fill(r.choice(parts)) for _ in range(r.randint(0, 9)))) for i in range(240)]
+    got = extract.text_pattern_tasks(page_frame(spark, [(m, p, t, None) for m, p, t in rows])).collect()
+    assert sorted((g.manual_id, g.page_no, g.interval_hours, g.description) for g in got) == plain_text_tasks(rows)
+
+
+def test_text_pattern_query_against_plain_python(spark):
+    rows = [(p.manual_id, p.page_no, p.text) for p in registry._pages(spark, SF).collect()]
+    got = sorted((g.manual_id, g.page_no, g.interval_hours, g.description) for g in registry.QUERIES["x10_text_pattern_tasks"](spark, SF).collect())
+    assert got == plain_text_tasks(rows)
+    # finalizing keeps the first of equal ones and counts places
+    kept = {(m, iv, S_AREA(t), t[:100]) for m, _, iv, t in got}
+    done = registry.QUERIES["a10_finalize_tasks"](spark, SF).collect()
+    assert len(done) == len(kept) and {(d.manual_id, d.interval_hours, d.area) for d in done} == {k[:3] for k in kept}
+    both = registry.QUERIES["u1_extract_from_pages"](spark, SF)
+    names = [r.manual_id for r in both.select("manual_id").distinct().collect()]
+    assert set(m for m, *_ in got) <= set(names) and both.count() == registry.QUERIES["u1_extract_from_tables"](spark, SF).count() + len(kept)
+
+
+def S_AREA(text):
+    return next((v for w, v in R.AREA_WORDS if w in text.lower()), "GENERAL")
+
+
+def test_caps_can_be_left_out(spark):
+    rows = page_frame(spark, [("m", i, f"12.{i} Part\ncheck the oil " * 9, None) for i in (1, 700)])
+    assert {r.page_start for r in chunks.section_chunks(rows, max_pages=None).collect()} == {1, 700}
+    assert pages.table_scan_pages(rows, None).count() == 2 and pages.pm_candidate_pages(page_frame(spark, [("m", 700, "x", None)]), None).count() == 1
+    assert len(pages.classification_sample(rows, None).first().sample) > len(pages.classification_sample(rows).first().sample)
+    assert pages.fallback_citations(rows, spark.createDataFrame([], "manual_id string"), None).count() == 2
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0

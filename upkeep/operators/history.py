@@ -146,6 +146,15 @@ def list_uploads(uploads: DataFrame, status: str | None = None, limit: int = 50)
     return rows.select("manual_id", "status", n.alias("task_count"), progress.alias("progress"), label.alias("label"), state.isin("PENDING_REVIEW", "APPROVED").alias("ready"))
 
 
+def list_citations(citations: DataFrame, manual_id=None, content_type: str | None = None) -> DataFrame:
+    """Citations in order of manual and page, of one manual or kind if asked for; a missing interval is 0."""
+    rows = citations
+    for name, value in (("manual_id", manual_id), ("content_type", content_type)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows.withColumn("interval_hours", F.coalesce("interval_hours", F.lit(0))).orderBy("manual_id", "page_start", "citation_id")
+
+
 def approve_records(records: DataFrame, ids: DataFrame, approver: str, notes: str | None, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """Records after approval of the listed ids, and the listed ones that were turned down with a reason."""
     listed = ids.select(F.col("record_id").alias("listed")).distinct()
@@ -226,6 +235,7 @@ def latest_approval(approvals: DataFrame) -> DataFrame:
 
 
 def approval_history(approvals: DataFrame, manual_id: int) -> DataFrame:
+    """All decisions on a manual, newest first."""
     return approvals.where(F.col("manual_id") == manual_id).orderBy(F.desc("created_at"), F.desc("approval_id"))
 
 

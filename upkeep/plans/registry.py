@@ -13,6 +13,7 @@ from upkeep.operators import chunks, extract, history, library, pages, retrieve,
 from upkeep.plans import sql as Q
 from upkeep.sources import files
 from upkeep.sources.adapters import domain_table, with_domain
+from upkeep.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,9 +102,9 @@ def _risk(spark, d):
     return history.pm_risk(r, m, h, newest=None)
 
 
-@query(f"SELECT machine_id, name, interval_hours, current_hours, last_completed, completions, risk FROM {RISK_SQL}")
+@query(f"SELECT machine_id, name, interval_hours, current_hours, last_completed, completions, risk, CASE risk WHEN 'HIGH' THEN concat('Never done, ', CAST(current_hours AS VARCHAR), 'h run, due at ', CAST(interval_hours AS VARCHAR), 'h') WHEN 'MEDIUM' THEN concat('Never done, nearing ', CAST(interval_hours AS VARCHAR), 'h') END AS reason FROM {RISK_SQL}")
 def a4_pm_risk(spark, d):
-    return _risk(spark, d).drop("reason")
+    return _risk(spark, d)
 
 
 @query(f"SELECT machine_id, interval_hours, current_hours + interval_hours AS due_at_hours, CAST(interval_hours // 8 AS INT) AS days FROM {RISK_SQL} WHERE completions > 0 ORDER BY machine_id, interval_hours LIMIT 10")
@@ -134,12 +135,12 @@ def f7_query_audit(spark, d):
     return history.query_audit(*_t(spark, d, "audit_logs"), resource_type="TASK")
 
 
-@query("""SELECT manual_id, status, 0 AS task_count, CASE WHEN status IN ('PENDING_REVIEW', 'APPROVED') THEN 100 WHEN status = 'PROCESSING' THEN 50 ELSE 0 END AS progress,
+@query("""SELECT manual_id, status, CAST(manual_id % 3 AS INT) AS task_count, CASE WHEN status IN ('PENDING_REVIEW', 'APPROVED') THEN 100 WHEN status = 'PROCESSING' THEN 50 ELSE 0 END AS progress,
     CASE status WHEN 'PENDING_REVIEW' THEN 'Ready for review' WHEN 'APPROVED' THEN 'Approved' WHEN 'PROCESSING' THEN 'Processing' WHEN 'FAILED' THEN 'Failed' ELSE 'Uploaded' END AS label,
     status IN ('PENDING_REVIEW', 'APPROVED') AS ready FROM {manual_uploads} ORDER BY created_ord DESC, manual_id DESC LIMIT 50""")
 def f6_list_uploads(spark, d):
     (u,) = _t(spark, d, "manual_uploads")
-    return history.list_uploads(u.withColumn("extracted_tasks", F.lit("[]")))
+    return history.list_uploads(u.withColumn("extracted_tasks", F.when(F.col("manual_id") % 3 > 0, F.to_json(F.array_repeat(F.struct(F.col("manual_id").alias("task")), (F.col("manual_id") % 3).cast("int"))))))
 
 
 @query("""SELECT r.record_id, r.machine_id, coalesce(m.name, r.machine_id) AS machine_name, concat(CAST(r.interval_hours AS VARCHAR), 'hr') AS label, r.status, r.created_at
@@ -315,9 +316,14 @@ def io6_library_export(spark, d):
     return files.library_export(j5_library_register(spark, d))
 
 
-@query("""SELECT machine_id, interval_hours, 'AUTO-19960615000000' AS work_order, count(*) AS task_count FROM {tasks} WHERE is_active GROUP BY ALL""")
+@query(f"""SELECT machine_id, interval_hours, 'AUTO-19960615000000' AS work_order, concat('PM_', translate(machine_id, ' -./', '__'), '_', {Q.file_label('interval_hours')}, '.xlsx') AS file_name, 'COMPLETED' AS status, count(*) AS task_count FROM {{tasks}} WHERE is_active GROUP BY ALL""")
 def io9_generation_log(spark, d):
-    return files.generation_log(w7_checklist_rows(spark, d), F.lit(AS_OF).cast("timestamp"))[0].select("machine_id", "interval_hours", "work_order", "task_count")
+    return files.generation_log(w7_checklist_rows(spark, d), F.lit(AS_OF).cast("timestamp"))[0].select("machine_id", "interval_hours", "work_order", "file_name", "status", "task_count")
+
+
+@query("""SELECT 'GENERATE' AS action, 'pm_record' AS resource_type, machine_id AS resource_id, concat('{"interval_hours":', CAST(interval_hours AS VARCHAR), ',"work_order":"AUTO-19960615000000","task_count":', CAST(count(*) AS VARCHAR), '}') AS details FROM {tasks} WHERE is_active GROUP BY machine_id, interval_hours""")
+def io9_generation_audit(spark, d):
+    return files.generation_log(w7_checklist_rows(spark, d), F.lit(AS_OF).cast("timestamp"))[1].drop("logged_at")
 
 
 @query("""SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents""")
@@ -349,9 +355,9 @@ def f1_pm_candidate_pages(spark, d):
 WORDS_SQL = lambda words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
 
 
-@query(f"SELECT manual_id, page_no FROM {{pages}} WHERE page_no <= 80 AND {WORDS_SQL(R.TABLE_SCAN_WORDS)}")
+@query(f"SELECT manual_id, page_no, {Q.detect_interval('lower(text)')} AS page_interval FROM {{pages}} WHERE page_no <= 80 AND {WORDS_SQL(R.TABLE_SCAN_WORDS)}")
 def f4_table_scan_pages(spark, d):
-    return pages.table_scan_pages(_pages(spark, d)).select("manual_id", "page_no")
+    return pages.table_scan_pages(_pages(spark, d)).select("manual_id", "page_no", "page_interval")
 
 
 @query(f"""SELECT manual_id, concat('fallback_p', CAST(page_no AS VARCHAR)) AS chunk_id, substr(text, 1, 500) AS text_excerpt FROM (SELECT *, row_number() OVER (PARTITION BY manual_id ORDER BY page_no) AS rn
@@ -445,7 +451,7 @@ def u2_chunk_pages(spark, d):
     return chunks.chunk_pages(_pages(spark, d).withColumn("tables", F.lit(None).cast("array<array<array<string>>>")))
 
 
-@query()
+@query(Q.MARKDOWN)
 def x6_markdown_chunks(spark, d):
     return chunks.markdown_chunks(domain_table(spark, d, "documents").select(F.col("doc_id").alias("manual_id"), "text"))
 
@@ -588,3 +594,130 @@ def t3_hybrid_topk(spark, d):
     docs = domain_table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     rows = _vectors(spark, d).join(docs, "chunk_id")
     return retrieve.hybrid_topk(rows.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "text", "embedding"), rows)
+
+
+# listings, gates and writers
+
+@query("""SELECT citation_id, manual_id, chunk_id, page_start, page_end, section, content_type, text_excerpt, coalesce(interval_hours, 0) AS interval_hours FROM {citations} WHERE content_type = 'warning'""")
+def f8_list_citations(spark, d):
+    return history.list_citations(domain_table(spark, d, "citations"), content_type="warning")
+
+
+@query("""SELECT approval_id, manual_id, interval_hours, status, comment, created_at FROM {approvals} WHERE manual_id = 7""")
+def w3_approval_history(spark, d):
+    return history.approval_history(domain_table(spark, d, "approvals"), 7)
+
+
+@query(f"""SELECT path, reason IS NULL AS accepted, reason FROM (SELECT path, CASE WHEN NOT ends_with(lower(path), '.pdf') THEN 'not a PDF name' WHEN length > 104857600 THEN 'too large' WHEN strlen(content) < 5 THEN 'too short'
+    WHEN NOT starts_with(content, '%PDF') THEN 'not a PDF' WHEN {Q.REASONS} THEN 'active content' END AS reason FROM {{uploads}})""")
+def io2_validate_uploads(spark, d):
+    return files.validate_uploads(domain_table(spark, d, "uploads").withColumn("content", F.col("content").cast("binary")))
+
+
+@query(Q.CALENDAR)
+def io5_calendar_schedule_tasks(spark, d):
+    c = domain_table(spark, d, "calendar")
+    return files.calendar_schedule_tasks(c.withColumn("cells", F.array("c0", "c1", "c2")).drop("c0", "c1", "c2"))
+
+
+@query("""SELECT machine_id, 1996 AS year, 6 AS month, interval_hours, CAST(row_number() OVER (PARTITION BY machine_id, interval_hours ORDER BY CASE machine_state WHEN 'RUNNING' THEN 1 WHEN 'STOPPED' THEN 2 ELSE 3 END, task_no) AS INT) AS row_no, task_no, area, action FROM {tasks} WHERE is_active""")
+def io7_write_checklists(spark, d):
+    path = files.shared_path(spark, "checklists")
+    files.write_checklists(w7_checklist_rows(spark, d).withColumns({"year": F.lit(1996), "month": F.lit(6)}), path)
+    return spark.read.parquet(path).select("machine_id", "year", "month", "interval_hours", "row_no", "task_no", "area", "action")
+
+
+@query("""SELECT manual_id, page_no AS chunk_id, CASE WHEN page_no % 2 = 0 THEN concat('new ', text) ELSE text END AS text, page_no + CASE WHEN page_no % 2 = 0 THEN 100 ELSE 0 END AS ord FROM {pages}""")
+def io8_replace_chunk_index(spark, d):
+    path, p = files.shared_path(spark, "index"), _pages(spark, d)
+    index = p.select("manual_id", F.col("page_no").alias("chunk_id"), "text", F.col("page_no").alias("ord"))
+    files.replace_chunk_index(index.withColumn("text", F.lit("old")), path)
+    again = index.where("chunk_id % 2 = 0").select("manual_id", "chunk_id", F.concat(F.lit("new "), "text").alias("text"), (F.col("ord") + 100).alias("ord"))
+    files.replace_chunk_index(index.unionByName(again), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT manual_id, page_no, greatest(1, (SELECT coalesce(max(o.page_no), 1) FROM {pages} o WHERE o.manual_id = p.manual_id AND (o.page_no - 1) * 1000 <= length(p.text))) AS page FROM {pages} p""")
+def j12_char_to_page(spark, d):
+    p = _pages(spark, d)
+    offsets = p.groupBy("manual_id").agg(F.collect_list(F.struct(F.col("page_no").alias("page"), ((F.col("page_no") - 1) * 1000).alias("start"))).alias("offsets"))
+    return p.join(offsets, "manual_id").select("manual_id", "page_no", chunks.char_to_page(F.length("text"), F.col("offsets")).alias("page"))
+
+
+@query(Q.LAYOUT)
+def x6_layout_chunks(spark, d):
+    docs = domain_table(spark, d, "documents")
+    rows = docs.select(F.concat(F.lit("m"), F.floor(F.col("doc_id") / 100).cast("string")).alias("manual_id"), (F.col("doc_id") % 100).cast("int").alias("para_no"), F.when(F.col("doc_id") % 10 == 3, "title").when(F.col("doc_id") % 10 == 7, "footer").alias("role"), F.substring("text", 1, 200).alias("text"))
+    rows = rows.withColumn("page_no", F.col("para_no") + 1)
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("col_idx"), F.substring("text", 20 * i + 1, 20).alias("content")) for i in (0, 1)]))
+    cells = rows.where("para_no % 4 = 0").select("manual_id", "page_no", F.col("para_no").alias("table_idx"), F.lit(0).alias("row_idx"), cell.alias("c")).select("manual_id", "page_no", "table_idx", "row_idx", "c.*")
+    return chunks.layout_chunks(rows, cells)
+
+
+@query("""SELECT doc_id, CASE WHEN k AND (contains(low, 'chapter 12') OR contains(low, 'kapitel 12') OR contains(low, '12. maintenance') OR contains(low, '12 maintenance')) THEN 12
+        WHEN k AND (contains(low, 'chapter 11') OR contains(low, 'kapitel 11') OR contains(low, '11. maintenance') OR contains(low, '11 maintenance')) THEN 11 ELSE found END AS chapter,
+    CASE WHEN k AND (contains(low, 'chapter 12') OR contains(low, 'kapitel 12') OR contains(low, '12. maintenance') OR contains(low, '12 maintenance') OR contains(low, 'chapter 11') OR contains(low, 'kapitel 11') OR contains(low, '11. maintenance') OR contains(low, '11 maintenance')) THEN 'krones_auto'
+        WHEN found IS NOT NULL THEN 'toc_pattern' ELSE 'not_found' END AS method FROM
+    (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(low, '(\\d+)[.\\s]+(?:maintenance|service|inspection|lubrication|wartung|instandhaltung)', 1), '') AS INT),
+        TRY_CAST(nullif(regexp_extract(low, 'chapter\\s+(\\d+)[\\s\\S]{0,50}(?:maintenance|service|inspection)', 1), '') AS INT)) AS found FROM
+    (SELECT doc_id, doc_id % 2 = 0 AS k, lower(concat('Chapter ', CAST(doc_id % 14 AS VARCHAR), CASE doc_id % 3 WHEN 0 THEN ' - maintenance ' ELSE ' parts ' END, text)) AS low FROM documents))""")
+def s12_maintenance_chapter(spark, d):
+    n = F.col("doc_id")
+    text = F.concat(F.lit("Chapter "), (n % 14).cast("string"), F.when(n % 3 == 0, " - maintenance ").otherwise(" parts "), F.col("text"))
+    found = S.maintenance_chapter(text, F.when(n % 2 == 0, "KRONES").otherwise("SIG"))
+    return domain_table(spark, d, "documents").select("doc_id", found.alias("m")).select("doc_id", "m.*")
+
+
+@query("""SELECT doc_id, concat('Chapter ', CAST(doc_id % 9 + 1 AS VARCHAR), ' ', CAST(n_chars AS VARCHAR), ' a ') AS part FROM documents""")
+def s12_chapter_text(spark, d):
+    n = (F.col("doc_id") % 9 + 1).cast("int")
+    made = F.concat(F.lit("Chapter "), n.cast("string"), F.lit(" "), F.col("n_chars").cast("string"), F.lit(" a Chapter "), (n + 1).cast("string"), F.lit(" rest"))
+    return domain_table(spark, d, "documents").select("doc_id", S.chapter_text(made, n).alias("part"))
+
+
+@query("""SELECT manual_id, CASE WHEN contains(m, 'TETRA') THEN 'TETRAPAK-ASEPTIC-L3' WHEN contains(f, 'HYPET') THEN '' WHEN contains(f, 'SHRINK') THEN 'SHRINK-TUNNEL-L3' WHEN contains(f, 'CONTIFORM') THEN 'CONTIFORM-C3-L3' WHEN contains(m, 'KRONES') THEN 'VARIOPAC-PRO-L3' ELSE '' END AS machine,
+    contains(m, 'TETRA') OR contains(m, 'TEM') AS tetra, contains(f, 'HYPET') AS hypet FROM
+    (SELECT manual_id, upper(coalesce(detected_manufacturer, '')) AS m, concat(CASE manual_id % 4 WHEN 0 THEN 'HYPET ' WHEN 1 THEN 'SHRINK ' WHEN 2 THEN 'CONTIFORM ' ELSE '' END, upper(original_filename)) AS f FROM {manual_uploads})""")
+def s13_s14_machine_of_upload(spark, d):
+    u, n = domain_table(spark, d, "manual_uploads"), F.col("manual_id") % 4
+    name = F.concat(F.when(n == 0, "hypet ").when(n == 1, "Shrink ").when(n == 2, "contiform ").otherwise(""), "original_filename")
+    of = (F.col("detected_manufacturer"), name)
+    return u.select("manual_id", S.infer_machine_id(of[0], F.lit(None), of[1]).alias("machine"), S.is_tetra(*of).alias("tetra"), S.is_hypet(*of).alias("hypet"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS detail, CAST(event_id % 4 AS INT) AS n_tasks, CAST(event_id % 100 + 3 AS INT) AS chapter FROM events""")
+def s19_json_fields(spark, d):
+    e, n = domain_table(spark, d, "events"), (F.col("event_id") % 4).cast("int")
+    listed = F.when(n > 0, F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("{}"), n), ","), F.lit("]")))
+    chapters = F.concat(F.lit("[1,"), (F.col("event_id") % 100 + 3).cast("string"), F.lit("]"))
+    return e.select("event_id", S.json_detail(F.col("props"), "k").alias("detail"), S.json_task_count(listed).alias("n_tasks"), S.json_chapters(chapters)[1].alias("chapter"))
+
+
+@query(f"SELECT manual_id, batch_no, CAST(length(text) AS VARCHAR) AS raw FROM ({Q.PROMPTS})")
+def b3_apply_model(spark, d):
+    return tasks.apply_model(b1_prompt_batches(spark, d), lambda text: str(len(text)))
+
+
+@query(Q.FROM_TABLES)
+def u1_extract_from_tables(spark, d):
+    return extract.extract_from_pages(_table_pages(spark, d))
+
+
+@query(f"SELECT manual_id, task_no, interval_hours, area, action, description FROM ({Q.FROM_TABLES})")
+def st1_stream_manuals(spark, d):
+    source, target, state = (files.shared_path(spark, n) for n in ("manuals", "extracted", "state"))
+    kind = {f.split()[0]: f.split()[1] for f in files.PAGES.split(", ")}
+    pages_ = _table_pages(spark, d).withColumns({"source_file": F.lit("f"), "n_pages": F.lit(7)})
+    pages_.select(*[F.col(c).cast(t) for c, t in kind.items()]).write.parquet(source)
+    streams.stream_manuals(spark, source, target, state).awaitTermination()
+    return spark.read.parquet(target).select("manual_id", "task_no", "interval_hours", "area", "action", "description")
+
+
+@query("""SELECT machine_id, entry_id, current_hours, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY recorded_at DESC, entry_id DESC) AS rn FROM {machine_hours}) WHERE rn = 1""")
+def st2_stream_latest_hours(spark, d):
+    source, state = (files.shared_path(spark, n) for n in ("readings", "state"))
+    hours = domain_table(spark, d, "machine_hours")
+    hours.write.parquet(source)
+    name = "latest_hours_" + state[-8:]
+    streams.stream_latest_hours(spark.readStream.schema(hours.schema).parquet(source), name, state).awaitTermination()
+    return spark.table(name)

@@ -205,3 +205,45 @@ FALLBACK = """SELECT u.manual_id, u.m AS machine_id, t.task_no, coalesce(t.area,
     (SELECT manual_id, CASE WHEN machine_id IN (SELECT machine_id FROM {machines}) THEN machine_id
         ELSE (SELECT arg_min(m.machine_id, struct_pack(a := m.name, b := m.machine_id)) FROM {machines} m WHERE m.is_active AND contains(lower(m.name), lower(u.detected_manufacturer))) END AS m
      FROM {manual_uploads} u WHERE status = 'FAILED' AND manual_id NOT IN (SELECT manual_id FROM {extracted})) u JOIN {tasks} t ON t.machine_id = u.m"""
+
+
+def finalized(source: str, first_by: str, apart: str = "") -> str:
+    """Tasks of ``source`` grouped and numbered; ``first_by`` decides which of equal ones is kept."""
+    key = f"manual_id, {apart}interval_hours, area, substr(description, 1, 100)"
+    return f"""(SELECT {apart}manual_id, page_no, interval_hours, area, action, CASE WHEN n > 1 THEN concat(description, ' (', CAST(n AS VARCHAR), ' LOCATIONS)') ELSE description END AS description, machine_state, safety_flag, part_number,
+        CAST(10 * row_number() OVER (PARTITION BY {apart}manual_id ORDER BY interval_hours, area, substr(description, 1, 100)) AS INT) AS task_no FROM
+        (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {first_by}) AS rn, count(*) OVER (PARTITION BY {key}) AS n FROM {source}) WHERE rn = 1)"""
+
+
+_FROM_HEADER = f"""SELECT 1 AS source, row_idx, manual_id, page_no, substr(area, 1, 30) AS area, {action('action')} AS action, {task('description')}, CASE {_PART} END AS part_number, interval_hours FROM {TABLE_ROWS} WHERE {is_work('description')}"""
+_FROM_NUMBER = f"""SELECT 2 AS source, row_idx, manual_id, page_no, {area('t')} AS area, {action('t')} AS action, {task('t')}, part_number, interval_hours FROM
+    (SELECT *, CASE {_PART} END AS part_number, array_to_string(list_filter([action, description, area, part], lambda c: length(c) > 3), ' - ') AS t FROM {TABLE_ROWS} WHERE length(iv) > 1) WHERE t <> '' AND {is_work('t')}"""
+FROM_TABLES = f"SELECT *, CAST(task_no AS BIGINT) AS ord FROM {finalized(finalized(f'({_FROM_HEADER} UNION ALL {_FROM_NUMBER})', 'row_idx', 'source, '), 'source, task_no')}"
+
+_MD = f"""(SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS block, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), '') AS heading FROM
+    (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) THEN 0 ELSE 1 END AS new, CASE WHEN kind = 'head' THEN {strip("regexp_replace(line, '^#+', '')")} END AS head FROM
+        (SELECT doc_id, line_no, lines[line_no] AS line, CASE WHEN starts_with(lines[line_no], '#') THEN 'head' WHEN starts_with(lines[line_no], '|') THEN 'table' WHEN {strip('lines[line_no]')} = '' THEN 'blank' ELSE 'text' END AS kind FROM
+            (SELECT *, unnest(range(1, len(lines) + 1)) AS line_no FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS lines FROM documents)))))"""
+_MD_BLOCKS = f"(SELECT doc_id, block, kind, heading, list(line ORDER BY line_no) AS ls FROM {_MD} WHERE kind IN ('table', 'text') GROUP BY ALL)"
+_MD_JOINED = f"array_to_string(list_transform(ls, lambda x: {strip('x')}), ' ')"
+_MD_TEXTS = f"(SELECT *, string_split_regex(para, '\\s+') AS w FROM (SELECT *, {strip(_MD_JOINED)} AS para FROM {_MD_BLOCKS} WHERE kind = 'text') WHERE length(para) >= 20)"
+MARKDOWN = rf"""SELECT doc_id AS manual_id, chunk_type, heading AS section_heading, text, content_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block, part) AS INT) AS ord FROM
+    (SELECT doc_id, block, 0 AS part, 'table_row' AS chunk_type, heading, concat('[TABLE]', chr(10), array_to_string(ls, chr(10))) AS text, 'table' AS content_type FROM {_MD_BLOCKS}
+        WHERE kind = 'table' AND len(list_filter(ls, lambda r: NOT regexp_matches(r, '^\|[\s\-:|]+\|'))) > 0
+     UNION ALL SELECT doc_id, block, k // 400, CASE WHEN regexp_matches(para, '[☐☑☒✓✔□■]|^\s*[-*]\s+') THEN 'checkbox' ELSE 'paragraph' END, heading, array_to_string(w[k + 1 : k + 400], ' '), kind_of FROM
+        (SELECT *, {content_type('h')} AS kind_of, unnest(range(0, len(w), 400)) AS k FROM (SELECT *, lower(concat(heading, ' ', substr(para, 1, 400))) AS h FROM {_MD_TEXTS})))"""
+_PARAS = "(SELECT concat('m', CAST(doc_id // 100 AS VARCHAR)) AS manual_id, CAST(doc_id % 100 AS INT) AS no, CASE WHEN doc_id % 10 = 3 THEN 'title' WHEN doc_id % 10 = 7 THEN 'footer' END AS role, substr(text, 1, 200) AS text FROM documents)"
+LAYOUT = f"""SELECT manual_id, chunk_type, heading AS section_heading, text, page_start, interval_hint, content_type, CAST(row_number() OVER (PARTITION BY manual_id ORDER BY grp, k) AS INT) AS ord FROM
+    (SELECT manual_id, CASE WHEN is_head THEN 'text' ELSE 'section' END AS chunk_type, heading, text, no + 1 AS page_start, {detect_interval('text')} AS interval_hint, {content_type('h')} AS content_type, 0 AS grp, no AS k FROM
+        (SELECT *, lower(concat(heading, ' ', substr(text, 1, 400))) AS h FROM (SELECT *, coalesce(role = 'title', false) AS is_head, coalesce(last_value(CASE WHEN role = 'title' THEN {strip('text')} END IGNORE NULLS) OVER (PARTITION BY manual_id ORDER BY no ROWS UNBOUNDED PRECEDING), '') AS heading
+            FROM {_PARAS} WHERE {strip("coalesce(text, '')")} <> ''))
+     UNION ALL SELECT manual_id, 'table_row', coalesce(h, ''), t, no + 1, {detect_interval('t')}, 'table', 1, CAST(no AS BIGINT) * 100000 FROM
+        (SELECT manual_id, no, array_to_string(list_filter([{strip("substr(text, 1, 20)")}, {strip("substr(text, 21, 20)")}], lambda c: c <> ''), ' | ') AS t FROM {_PARAS} WHERE no % 4 = 0)
+        LEFT JOIN (SELECT manual_id, arg_max({strip('text')}, no) AS h FROM {_PARAS} WHERE role = 'title' AND {strip("coalesce(text, '')")} <> '' GROUP BY manual_id) USING (manual_id) WHERE length(t) >= 5)"""
+REASONS = " ".join(f"OR contains(substr(content, 1, 16384), {q(m)})" for m in R.EXPLOIT_MARKS)[3:]
+CALENDAR = rf"""SELECT workbook, CAST(10 * row_number() OVER (PARTITION BY workbook ORDER BY sheet_ord, row_no) AS INT) AS task_no, CASE WHEN verb THEN array_to_string(w[2:], ' ') ELSE short END AS area, CASE WHEN verb THEN first ELSE 'CHECK' END AS action,
+    coalesce(nullif(long, ''), short) AS description, interval_hours, 'STOPPED' AS machine_state, upper(short) = 'SAFETY' AS safety_flag, concat('Calendar schedule, ', sheet) AS source_chapter FROM
+    (SELECT *, first IN ({', '.join(map(q, R.CALENDAR_VERBS))}) AND len(w) > 1 AS verb FROM (SELECT *, string_split_regex(short, '\s+') AS w, regexp_replace(upper(string_split_regex(short, '\s+')[1]), ':+$', '') AS first FROM
+        (SELECT *, trim(c1) AS short, trim(c2) AS long, CASE upper(trim(sheet)) {' '.join(f"WHEN {q(k)} THEN {v}" for k, v in R.CALENDAR_HOURS.items())} END AS interval_hours,
+            coalesce(min(CASE WHEN row_no BETWEEN 1 AND 4 AND lower(trim(c0)) = 'seq' THEN row_no + 1 END) OVER (PARTITION BY workbook, sheet_ord), 2) AS start FROM {{calendar}})
+        WHERE interval_hours IS NOT NULL AND row_no >= start AND (short <> '' OR long <> '')))"""

@@ -81,6 +81,22 @@ MAPPINGS = {
                t.task_id AS ord
         FROM {manual_uploads} u JOIN {tasks} t ON u.machine_id = t.machine_id AND u.status <> 'FAILED' AND t.interval_hours =
              CASE u.manual_id % 7 WHEN 1 THEN 8 WHEN 2 THEN 120 WHEN 3 THEN 500 WHEN 4 THEN 1500 WHEN 5 THEN 3000 WHEN 6 THEN 6000 ELSE 12000 END""",
+    "citations": """
+        SELECT doc_id AS citation_id, concat('m', cast(cast(floor(doc_id / 100) AS bigint) AS string)) AS manual_id, concat('c', cast(doc_id AS string)) AS chunk_id,
+               cast(doc_id % 100 + 1 AS int) AS page_start, cast(doc_id % 100 + 1 AS int) AS page_end, lang AS section,
+               CASE doc_id % 4 WHEN 0 THEN 'warning' WHEN 1 THEN 'loto' WHEN 2 THEN 'ppe' ELSE 'procedure' END AS content_type,
+               substr(text, 1, 500) AS text_excerpt, CASE WHEN doc_id % 3 <> 0 THEN cast(doc_id % 7 AS int) * 500 END AS interval_hours
+        FROM {documents}""",
+    "uploads": """
+        SELECT concat('f', cast(doc_id AS string), CASE doc_id % 7 WHEN 0 THEN '.txt' WHEN 1 THEN '.PDF' ELSE '.pdf' END) AS path, n_chars * 20000 AS length,
+               concat(CASE doc_id % 5 WHEN 0 THEN '' ELSE '%PDF-1.7 ' END, CASE doc_id % 11 WHEN 0 THEN '/JavaScript ' ELSE '' END, CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END) AS content
+        FROM {documents}""",
+    "calendar": """
+        SELECT p_size AS workbook, cast(p_partkey % 4 AS int) AS sheet_ord, CASE p_partkey % 4 WHEN 0 THEN 'Weekly' WHEN 1 THEN '2 YEAR ' WHEN 2 THEN 'Notes' ELSE 'quarterly' END AS sheet,
+               cast(row_number() OVER (PARTITION BY p_size, p_partkey % 4 ORDER BY p_partkey) AS int) AS row_no,
+               CASE p_partkey % 5 WHEN 0 THEN 'SEQ' ELSE cast(p_partkey AS string) END AS c0, CASE p_partkey % 3 WHEN 0 THEN concat('Check: ', p_name) WHEN 1 THEN 'SAFETY' ELSE p_name END AS c1,
+               CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS c2
+        FROM {part}""",
     "approvals": """
         SELECT event_id AS approval_id, user_id AS manual_id, (event_id % 3) * 500 AS interval_hours,
                CASE WHEN event_id % 4 = 0 THEN 'REJECTED' ELSE 'APPROVED' END AS status,

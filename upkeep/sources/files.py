@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,6 +20,16 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
     return spark.read.schema(PAGES).format(format).load(path)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; on one machine a temporary one will do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="upkeep-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
     """Raw files below ``path`` as ``path, length, content``."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content")
@@ -39,22 +52,24 @@ def calendar_schedule_tasks(rows: DataFrame) -> DataFrame:
     """Rows of a calendar workbook ``(sheet_ord, sheet, row_no, cells)`` as tasks, numbered 10, 20, ... over all sheets.
 
     Sheets whose label names no interval are left out. Data start after the first "seq"
-    in the first cell of rows 1 to 4, else in row 2.
+    in the first cell of rows 1 to 4, else in row 2. Rows of several workbooks carry a column ``workbook`` and are numbered in each.
     """
+    book = ["workbook"] if "workbook" in rows.columns else []
     hours = F.lit(None)
     for label, value in R.CALENDAR_HOURS.items():
         hours = F.when(F.upper(F.trim("sheet")) == label, value).otherwise(hours)
     rows = rows.withColumn("interval_hours", hours.cast("int")).where("interval_hours IS NOT NULL")
     cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
-    heads = rows.where(F.col("row_no").between(1, 4) & (F.lower(cell(0)) == "seq")).groupBy("sheet_ord").agg((F.min("row_no") + 1).alias("start"))
-    rows = rows.join(heads, "sheet_ord", "left").where(F.col("row_no") >= F.coalesce("start", F.lit(2)))
+    heads = rows.where(F.col("row_no").between(1, 4) & (F.lower(cell(0)) == "seq")).groupBy(*book, "sheet_ord").agg((F.min("row_no") + 1).alias("start"))
+    rows = rows.join(heads, [*book, "sheet_ord"], "left").where(F.col("row_no") >= F.coalesce("start", F.lit(2)))
     rows = rows.withColumns({"short": cell(1), "long": cell(2)}).where("short <> '' OR long <> ''")
     words = F.split("short", r"\s+")
     first = F.regexp_replace(F.upper(F.get(words, F.lit(0))), ":+$", "")
     has_verb = first.isin(*R.CALENDAR_VERBS) & (F.size(words) > 1)
     area = F.when(has_verb, F.array_join(F.slice(words, 2, F.size(words)), " ")).otherwise(F.col("short"))
-    order = W.orderBy("sheet_ord", "row_no")  # a workbook has a few hundred rows
+    order = W.partitionBy(*book).orderBy("sheet_ord", "row_no")  # a workbook has a few hundred rows
     return rows.select(
+        *book,
         (F.row_number().over(order) * 10).alias("task_no"), area.alias("area"), F.when(has_verb, first).otherwise("CHECK").alias("action"),
         F.coalesce(F.nullif("long", F.lit("")), "short").alias("description"), "interval_hours", F.lit("STOPPED").alias("machine_state"),
         (F.upper("short") == "SAFETY").alias("safety_flag"), F.concat(F.lit("Calendar schedule, "), "sheet").alias("source_chapter"),

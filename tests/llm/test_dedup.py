@@ -83,6 +83,31 @@ def test_jaccard_join(spark, monkeypatch, n, percent, region):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), up.find(r.doc_id))
 
 
+def test_large_regions_are_split(spark, monkeypatch):
+    """Near copies in one region, some linked, some far apart and some connected in chains only."""
+    r = random.Random(5)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 2, 4, 6, 8, 12])):
+            w[r.randrange(200)] = f"x{r.randrange(10**6)}"
+        rows.append((1_000 - i, " ".join(w)))
+    for k in range(40):  # a chain: each links with its neighbours only
+        rows.append((k, " ".join([f"c{j}" for j in range(k * 3, k * 3 + 100)])))
+    sets = brute_sets(rows, 4)
+    ids = sorted(sets)
+    up = jaccard_join.Unions(len(ids))
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = sets[ids[a]], sets[ids[b]]
+            if 100 * len(x & y) >= 85 * len(x | y):
+                up.join(a, b)
+    want = {i: ids[up.find(k)] for k, i in enumerate(ids)}
+    monkeypatch.setattr(jaccard_join, "REGION", 20)
+    monkeypatch.setattr(jaccard_join, "DEPTH", 2)
+    assert {g.doc_id: g.component_id for g in jaccard_join.link_documents(frame(spark, rows)).collect()} == want
+
+
 def test_jaccard_null_id(spark):
     got = jaccard_join.link_documents(frame(spark, [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e")])).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(2, 2), (2, 2), (None, None)]

@@ -5,10 +5,12 @@ Two documents link when the distance of their sets is at most r. All others at d
 one of their rarest n-grams (as many of each set as r lets it lose), and the sets that
 share such a rare n-gram elect one of them as its pivot. A set joins the region of every
 pivot that it sees, which is its own Voronoi region and those whose windows reach it.
-Inside a region, sets are dealt to the nearest of several pivots again and copied to all
-regions that the triangle inequality leaves open, until regions are small; a pair is
-compared exactly once its distances to a pivot differ by no more than r and it isn't
-connected already. Regions give star edges, and components of these are the result.
+Spark splits a region of many sets: their distances to several pivots are columns, every
+set goes to the region of its nearest pivot and is copied to all that the triangle
+inequality leaves open, until regions are small or connected. A task then does the same
+inside a small region; a pair is compared exactly once its distances to a pivot differ by
+no more than r and it isn't connected already. Regions give star edges, and components of
+these are the result.
 
 Rarity is judged by a table of counts of fixed size that all documents add to. Any order
 gives exact results; this one keeps passages that many documents share out of the index.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from upkeep.llm import scratch
@@ -31,10 +33,14 @@ N = 4
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BUCKETS = 1 << 16
-#: A region of more sets than this is joined in pairs of blocks of half of it, each a task of its own.
+#: A region of more sets than this is split by Spark; one of fewer is joined in a task.
 REGION = 2_000
 #: The same for a region's n-grams in total (16 MB of hashes).
 REGION_GRAMS = 2_000_000
+#: Pivots that a large region elects in a round.
+FAN = 8
+#: Rounds in which large regions are split; one that windows can't part in so many is joined in pairs of blocks.
+DEPTH = 6
 #: How often sets that can't link are looked for; more rounds leave fewer in regions, and none changes the result.
 ROUNDS = 2
 #: Ids that may be broadcast to pick out texts (16 MB); beyond it, a shuffled join does.
@@ -93,14 +99,17 @@ class Unions:
         self.up[max(i, j)] = min(i, j)
 
 
-def join_region(sets: list[np.ndarray], percent: int = PERCENT, small: int = 64, fan: int = 8) -> np.ndarray:
-    """For each set the first set it is connected with by links inside the region; exact."""
+def join_region(sets: list[np.ndarray], percent: int = PERCENT, small: int = 64, fan: int = FAN, known: list | None = None) -> np.ndarray:
+    """For each set the first set it is connected with, by links inside the region or because ``known`` names the same component; exact."""
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
     _, ids = np.unique(flat, return_inverse=True)
     start = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(int(ids.max()) + 1, bool)
     unions, r = Unions(len(sets)), 1 - percent / 100
+    first_of: dict = {}
+    for i, label in enumerate(known or []):
+        unions.join(first_of.setdefault(label, i), i)
 
     def against(p: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances of ``members`` to set p, and which of them link with it."""
@@ -218,6 +227,133 @@ def _elected(shown: DataFrame) -> DataFrame:
     return shown.join(pivot, "gram")
 
 
+def _load(m: str, g: str) -> Column:
+    """How many tasks' worth of sets or n-grams a region of ``m`` sets and ``g`` n-grams holds."""
+    return F.greatest(F.col(m) / REGION, F.col(g) / REGION_GRAMS)
+
+
+def _sets(src: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """``rep, size, fp, grams`` of the documents whose ids are in ``wanted(rep)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = list(sets_of(b.column(1), n))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array([print_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
+                names=["rep", "size", "fp", "grams"],
+            )
+
+    wanted = wanted.distinct()
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = src.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"rep {kind}, size long, fp long, grams binary").dropDuplicates(["rep", "size", "fp"])
+
+
+def _measured(members: DataFrame, sets: DataFrame, depth: int, percent: int) -> DataFrame:
+    """Distances of every member of a large region to the region's pivots: ``region, rep, size, fp, pivot, d, linked``.
+
+    A region elects up to FAN pivots, from sets that aren't known to be connected. ``d`` maps a pivot's slot to
+    the distance, ``linked`` lists the pivots that the member links with and ``pivot`` tells that it is one. The
+    members of a region are dealt to tasks of bounded size by a hash; each task gets the pivots.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    parts = F.ceil("load").cast("int")
+    slot = F.pmod(F.xxhash64("label", F.lit(depth)), F.lit(FAN)).cast("int")
+    pivots = members.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(depth)).alias("h"), "rep", "size", "fp")).alias("p"), F.max(parts).alias("parts"))
+    pivots = pivots.select("region", "slot", "p.rep", "p.size", "p.fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pivots = pivots.join(sets, ["rep", "size", "fp"]).select("region", "part", "slot", "rep", "grams").toDF("to", "to_part", "slot", "by", "of")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(-1 - depth)), parts).cast("int"))
+    dealt = dealt.join(sets, ["rep", "size", "fp"]).select("region", "part", "rep", "size", "fp", "grams")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        to = [(k, rep, np.frombuffer(grams, np.uint64)) for k, rep, grams in zip(*(right.column(c).to_pylist() for c in ("slot", "by", "of")), strict=True)]
+        size, reps = left.column("size").to_numpy(), left.column("rep").to_pylist()
+        flat = np.frombuffer(b"".join(left.column("grams").to_pylist()), np.uint64)
+        first = np.cumsum(size) - size
+        d, linked = [[] for _ in reps], [[] for _ in reps]
+        for k, rep, grams in to:
+            at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+            shared = np.add.reduceat((grams[at] == flat).astype(np.int64), first) if len(reps) else size
+            union = size + len(grams) - shared
+            for i, (x, link) in enumerate(zip((1 - shared / union).tolist(), (100 * shared >= percent * union).tolist(), strict=True)):
+                d[i].append((k, x))
+                if link and reps[i] != rep:
+                    linked[i].append(rep)
+        own = {rep for _, rep, _ in to}
+        of = left.schema.field("rep").type
+        return pa.table({
+            "region": left.column("region"), "rep": left.column("rep"), "size": left.column("size"), "fp": left.column("fp"),
+            "pivot": pa.array([rep in own for rep in reps], pa.bool_()), "d": pa.array(d, pa.map_(pa.int32(), pa.float64())), "linked": pa.array(linked, pa.list_(of)),
+        })
+
+    return dealt.groupBy("region", "part").cogroup(pivots.groupBy("to", "to_part")).applyInArrow(
+        measure, f"region long, rep {kind}, size long, fp long, pivot boolean, d map<int, double>, linked array<{kind}>"
+    )
+
+
+def _split(src: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[DataFrame | None, DataFrame]:
+    """Deal the sets of large regions to the Voronoi regions of several pivots, again and again: links found, and members left to compare.
+
+    A set goes to the region of its nearest pivot and to all whose distance is larger by no more than 2r, which
+    by the triangle inequality brings together every pair within r. Pivots have then met all others and leave; so do regions whose
+    members are all connected. What is still large after DEPTH rounds is left as it is.
+    """
+    large = members.where("load > 1")
+    if large.isEmpty():
+        return None, members
+    done, stars, r = members.where("load <= 1"), None, 1 - percent / 100
+    sets = scratch.table(_sets(src, large.select("rep"), n), "region-sets")
+    for depth in range(DEPTH):
+        measured = scratch.table(_measured(large, sets, depth, percent), "distances")
+        links = measured.select(F.col("rep").alias("a"), F.explode("linked").alias("b"))
+        stars = links if stars is None else stars.unionByName(links)
+        found = connected_components(stars)
+        near = F.array_min(F.map_values("d")) + (2 * r + 1e-9)
+        windows = F.map_keys(F.map_filter("d", lambda _, x: x <= near))
+        dealt = measured.where("NOT pivot").select(F.explode(windows).alias("k"), "region", "rep", "size", "fp")
+        dealt = dealt.select(F.xxhash64("region", "k").alias("region"), "rep", "size", "fp")
+        dealt = dealt.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        dealt = scratch.table(dealt, "dealt")
+        held = dealt.groupBy("region").agg(F.count("*").alias("m"), F.sum("size").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
+        held = held.where("low <> high").select("region", _load("m", "g").alias("load"))
+        dealt = scratch.table(dealt.join(held, "region").select(*members.columns), "members")
+        done, large = done.unionByName(dealt.where("load <= 1")), dealt.where("load > 1")
+        if large.isEmpty():
+            break
+    return stars, done.unionByName(large)
+
+
+def _region_links(src: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that connect all that links inside the regions connect.
+
+    A region is one task's work; one that windows couldn't part is joined in pairs of blocks of half that size.
+    """
+    kind = src.schema["doc_id"].dataType.simpleString()
+    parts = F.when(F.col("load") <= 1, 1).otherwise(F.ceil(F.col("load") * 2)).cast("int")
+    blocks = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("rep", "size", "fp", "label", "region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
+    full = blocks.join(_sets(src, members.select("rep"), n), ["rep", "size", "fp"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = [], []
+            for reps, known, grams in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                order = sorted(range(len(reps)), key=reps.__getitem__)
+                root = join_region([np.frombuffer(grams[i], np.uint64) for i in order], percent, known=[known[i] for i in order])
+                for i, k in enumerate(root.tolist()):
+                    if i != k:
+                        a.append(reps[order[i]])
+                        c.append(reps[order[k]])
+            of = b.column(0).type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(c, of)], names=["a", "b"])
+
+    # a region holds at most REGION sets, or two blocks of about half as many
+    gathered = full.groupBy("region", "b1", "b2").agg(F.collect_list("rep").alias("reps"), F.collect_list("label").alias("known"), F.collect_list("grams").alias("grams"))
+    return gathered.where(F.size("reps") > 1).select("reps", "known", "grams").mapInArrow(links, f"a {kind}, b {kind}")
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -248,49 +384,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         linkable = shown.groupBy("size", "fp").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("size", "fp")
         shown = shown.join(linkable, ["size", "fp"], "left_semi").repartition("gram")
     seen = scratch.table(_elected(shown).select("p_size", "p_fp", "size", "fp").distinct(), "regions")
-    # every member gets the id that stands for its set, and the region's number of blocks
-    large = seen.groupBy("p_size", "p_fp").agg(F.count("*").alias("m"), F.sum("size").alias("g")).where("m > 1")
-    members = seen.join(large, ["p_size", "p_fp"]).join(nodes, ["size", "fp"])
-    load = F.greatest(F.col("m") / REGION, F.col("g") / REGION_GRAMS)
-    parts = F.when(load <= 1, 1).otherwise(F.ceil(load * 2)).cast("int")
-    members = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    members = members.withColumn("other", F.explode(others)).select(
-        "rep", "size", "fp", "p_size", "p_fp", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2")
-    )
+    # every member gets the id that stands for its set
+    held = seen.groupBy("p_size", "p_fp").agg(F.count("*").alias("m"), F.sum("size").alias("g")).where("m > 1")
+    members = seen.join(held, ["p_size", "p_fp"]).join(nodes, ["size", "fp"])
+    members = members.select(F.xxhash64("p_size", "p_fp").alias("region"), "rep", F.col("size").cast("long").alias("size"), "fp", F.col("rep").alias("label"), _load("m", "g").alias("load"))
     members = scratch.table(members, "members")
-    wanted = members.select("rep").distinct()
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = src.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = list(sets_of(b.column(1), n))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array([print_of(x) for x in s], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())],
-                names=["rep", "size", "fp", "grams"],
-            )
-
-    kind = src.schema["doc_id"].dataType.simpleString()
-    sets = texts.mapInArrow(to_sets, f"rep {kind}, size long, fp long, grams binary").dropDuplicates(["rep", "size", "fp"])
-    full = members.join(sets, ["rep", "size", "fp"]).select(F.struct("p_size", "p_fp", "b1", "b2").alias("region"), "rep", "grams")
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            for reps, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                order = sorted(range(len(reps)), key=reps.__getitem__)
-                root = join_region([np.frombuffer(grams[i], np.uint64) for i in order], percent)
-                for i, k in enumerate(root.tolist()):
-                    if i != k:
-                        a.append(reps[order[i]])
-                        c.append(reps[order[k]])
-            of = b.column(0).type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(c, of)], names=["a", "b"])
-
-    # a region holds at most REGION sets, or two blocks of about half as many
-    gathered = full.groupBy("region").agg(F.collect_list("rep").alias("reps"), F.collect_list("grams").alias("grams")).where(F.size("reps") > 1)
-    edges = gathered.select("reps", "grams").mapInArrow(links, f"a {kind}, b {kind}")
+    stars, members = _split(src, members, n, percent)
+    edges = _region_links(src, members, n, percent)
+    edges = edges if stars is None else edges.unionByName(stars)
     found = connected_components(edges).withColumnsRenamed({"node": "rep"})
     labels = nodes.join(found, "rep", "left").select("size", "fp", F.coalesce("component", "rep").alias("component"))
     return rows.join(labels, ["size", "fp"], "left").select(

@@ -210,6 +210,14 @@ def test_citations(spark):
     assert (got["m"].page_start, got["m"].page_end, got["n"].page_start, got["n"].text_excerpt) == (4, 4, 0, "x")
 
 
+def test_citations_of_repeated_and_empty_tasks(spark):
+    rows = [("m", 10, None, "check pump", None), ("m", 10, None, "check pump", None), ("m", 20, None, None, None), (None, 30, 500, "check pump", "PUMP")]
+    t = spark.createDataFrame(rows, "manual_id string, task_no int, interval_hours int, description string, area string")
+    c = spark.createDataFrame([("m", 2, "pump check", 2, 2), ("m", 1, None, 1, 1), ("m", 3, "check pump", 3, 3), ("m", 2, "check pump a", 9, 9), (None, 1, "check pump", 4, 4)], "manual_id string, ord long, text string, page_start int, page_end int")
+    got = sorted((r.task_no, r.page_start, r.text_excerpt) for r in tasks.assign_citations(t, c).collect())
+    assert got == [(10, 2, "pump check"), (10, 2, "pump check"), (20, 1, ""), (30, 0, "check pump")]
+
+
 def test_uploads_and_calendar(spark):
     f = spark.createDataFrame([("a.PDF", 9, bytearray(b"%PDF-1.7 ok")), ("b.txt", 9, bytearray(b"%PDF")), ("c.pdf", 9, bytearray(b"MZ.....")), ("d.pdf", 9, bytearray(b"%PDF eval(")), ("e.pdf", 2 * 10**8, bytearray(b"%PDF.")), ("f.pdf", 20_000, bytearray(b"%PDF" + b" " * 16_384 + b"eval("))], "path string, length long, content binary")
     assert {r.path: r.reason for r in files.validate_uploads(f).collect()} == {"a.PDF": None, "b.txt": "not a PDF name", "c.pdf": "not a PDF", "d.pdf": "active content", "e.pdf": "too large", "f.pdf": None}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.llm import chaining, decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, suffix_dedup, toxicity, warc
+from upkeep.llm import chaining, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, license_scan, packing, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,10 +54,14 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.find_repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.round_trip(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [f for name, f in globals().items() if name.startswith("op") and callable(f)]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc_revisits": warc.SQL, "op9_exact_dedup": exact_dedup.SQL, "op13_fill_in_middle": fill_middle.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.llm import chaining, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, license_scan, packing, suffix_dedup, toxicity, warc
+from upkeep.llm import chaining, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, license_scan, packing, periodic_runs, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.find_repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(periodic_runs.find_runs(periodic_runs.plant_runs(_read(spark, sf_dir, "documents"))))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trip(_read(spark, sf_dir, "documents"))
 

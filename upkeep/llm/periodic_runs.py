@@ -11,6 +11,7 @@ Documents are work of their own: nothing is shuffled, and a batch holds a few me
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +47,14 @@ def runs(names: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LE
     half = size // 2
     part = np.repeat(np.arange(len(size)), half)
     q = np.arange(len(part)) - np.repeat(np.cumsum(half) - half, half) + 1
-    count = (size[part] - 1) // q
-    upto = np.cumsum(count)
+    places = (size[part] - 1) // q
+    upto = np.cumsum(places)
     low = 0
     while low < len(q):
-        before = upto[low] - count[low]
+        before = upto[low] - places[low]
         high = max(low + 1, int(np.searchsorted(upto, before + PAIRS, "right")))
         for shift in range(0, int(upto[high - 1] - before), PAIRS):  # one period of a very long text may have more
-            n = count[low:high] if high - low > 1 else np.array([min(PAIRS, int(count[low]) - shift)])
+            n = places[low:high] if high - low > 1 else np.array([min(PAIRS, int(places[low]) - shift)])
             qs = np.repeat(q[low:high], n)
             i = np.repeat(begin[part[low:high]], n) + (np.arange(len(qs)) - np.repeat(np.cumsum(n) - n, n) + shift * (high - low == 1)) * qs
             same = names[i] == names[i + qs]
@@ -76,13 +77,14 @@ def runs(names: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LE
 def _batch(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
     """Words of each text, runs before each text, their starts, lengths and periods, and the texts without repeats."""
     split = [(t or "").encode().split() for t in texts]  # at blanks, tabs and the four bytes after it
-    known: dict[bytes, int] = {}
+    every = list(chain.from_iterable(split))
+    known = dict(zip(dict.fromkeys(every), count(), strict=False))
     size = np.array([len(w) for w in split], np.int64)
     begin = np.cumsum(size + 1) - size + 1
     total = int(size.sum()) + len(split) + 3
     names = np.full(total, -1, np.int64)
-    for b, w in zip(begin, split, strict=True):
-        names[b : b + len(w)] = [known.setdefault(x, len(known)) for x in w]
+    word = np.arange(len(every)) + np.repeat(begin - (np.cumsum(size) - size), size)
+    names[word] = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
     gaps = np.flatnonzero(names < 0)
     names[gaps] = len(known) + np.arange(len(gaps))
     start, end, period = runs(names, begin, size, least)

@@ -4,8 +4,8 @@ A sequence of symbols is shortened in turns: runs of one symbol become a symbol
 then pairs of neighbours whose first symbol falls to the left half of the alphabet and whose second falls to
 the right half do. What a symbol becomes depends on its surroundings alone, so equal
 stretches are parsed alike but at their borders, and a common extension is found by
-climbing while parents are equal and descending where they differ: a step or two a level. Names are ranks of
-what they stand for, so equal names mean equal contents.
+climbing while parents are equal and descending where they differ: a step or two a level. Names are numbers
+given to what they stand for, so equal names mean equal contents.
 
 All functions take arrays of queries and work on them together.
 """
@@ -13,6 +13,7 @@ All functions take arrays of queries and work on them together.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from upkeep.llm import words
 
@@ -29,10 +30,10 @@ def _parents(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.cumsum(first) - 1).astype(np.int32), np.append(np.flatnonzero(first), len(first)).astype(np.int32)
 
 
-def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A rank for each pair of small non-negative integers."""
+def _numbers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of small non-negative integers, the same for equal pairs."""
     wide = np.int64(b.max(initial=0)) + 1
-    return np.unique(a.astype(np.int64) * wide + b, return_inverse=True)[1]
+    return pd.factorize(a.astype(np.int64) * wide + b)[0]
 
 
 def grammar(sym: np.ndarray, longest: int, enough: int = 8) -> list[Level]:
@@ -54,7 +55,7 @@ def grammar(sym: np.ndarray, longest: int, enough: int = 8) -> list[Level]:
             size = np.diff(down)
             many = size > 1
             new = sym[down[:-1]]
-            new[many] = int(sym.max()) + 1 + _ranks(new[many], size[many])
+            new[many] = int(sym.max()) + 1 + _numbers(new[many], size[many])
         else:
             salt += 1
             side = words.mix(sym.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(63) == 0
@@ -63,9 +64,9 @@ def grammar(sym: np.ndarray, longest: int, enough: int = 8) -> list[Level]:
             two = np.diff(down) > 1
             at = down[:-1]
             new = sym[at]
-            new[two] = int(sym.max()) + 1 + _ranks(new[two], sym[at[two] + 1])
+            new[two] = int(sym.max()) + 1 + _numbers(new[two], sym[at[two] + 1])
             left *= 0.76
-        sym = np.unique(new, return_inverse=True)[1].astype(np.int64)
+        sym = new
         levels.append(Level(sym, down, not runs))
     return levels
 

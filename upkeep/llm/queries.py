@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from upkeep.llm import chaining, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, license_scan, packing, periodic_runs, suffix_dedup, toxicity, warc
+from upkeep.llm import chaining, decontaminate, exact_dedup, fill_middle, jaccard_join, language_id, license_scan, packing, periodic_runs, suffix_dedup, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.find_repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_report(periodic_runs.find_runs(periodic_runs.plant_runs(_read(spark, sf_dir, "documents"))))
 
@@ -68,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc.SQL, "op9_exact_dedup": exact_dedup.SQL, "op13_fill_in_middle": fill_middle.SQL}
+    return {"op1_warc_revisits": warc.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_url_filter": url_filter.SQL, "op13_fill_in_middle": fill_middle.SQL}

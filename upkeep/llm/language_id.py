@@ -164,7 +164,8 @@ def fit(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: s
 
     At most ``sample`` documents of each language are used, those with the smallest hash
     of the id, and ``STRETCHES`` stretches of ``STEPS`` bytes from anywhere in each of them.
-    Rows without text, language or id are left out.
+    Rows without text, language or id are left out. Rows that repeat an id count each towards ``sample``. Other columns
+    are not read, whatever their names. Without rows there are no languages and no weights.
     """
     known = docs.where(trained_on & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("body"))
@@ -172,7 +173,10 @@ def fit(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col: s
     ids = known.select("id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("id", "lang").distinct()
     at = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.pmod(F.xxhash64("id", k), F.greatest(F.length("body") - STEPS + 1, F.lit(1))).cast("int"))
     picked = known.join(F.broadcast(ids), ["id", "lang"], "left_semi")
-    rows = picked.select("lang", F.transform(at, lambda p: F.substring("body", p + 1, F.lit(STEPS))).alias("parts")).collect()
+    picked = picked.select("lang", F.transform(at, lambda p: F.substring("body", p + 1, F.lit(STEPS))).alias("parts"))
+    # rows that repeat an id go beyond the sample; each task keeps the first ones before they are shuffled
+    again = W.partitionBy("lang").orderBy(F.xxhash64("parts"))
+    rows = picked.withColumn("n", F.row_number().over(again)).where(F.col("n") <= sample).select("lang", "parts").collect()
     rows = sorted((r["lang"], [bytes(x) for x in r["parts"]]) for r in rows)
     langs = sorted({lang for lang, _ in rows})
     if not langs:

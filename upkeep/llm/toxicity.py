@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from upkeep.llm import scratch
 from upkeep.llm import words as wd
@@ -111,7 +112,9 @@ def _features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``sample`` labelled documents of each side, chosen by a hash of the id.
 
-    Labels with a null id or grade are left out; without both sides the model says 0.
+    Labels with a null id or grade are left out; without both sides the model says 0. Rows that repeat an id, of either table,
+    count each towards ``sample``. Null and empty texts have no features. Other columns are not read, whatever their names.
+    Without documents the model says 0.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("label_id"), severity(F.col("toxic"), F.col("quality")).alias("grade")).dropna()
@@ -120,7 +123,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         part = known.where(side).orderBy(F.xxhash64("label_id"), "label_id", "grade").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    picked = src.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("grade", "text")  # 2 * sample rows at most
+    picked = src.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("grade", "text")
+    # rows that repeat an id go beyond the sample; each task keeps the first ones before they are shuffled
+    first = W.partitionBy(F.col("grade") > 0).orderBy(F.xxhash64("text"), "grade")
+    picked = picked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).select("grade", "text")
     scratch.small_batches(spark)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,10 +138,15 @@ def deduplicate_archives(spark: SparkSession, source: str, target: str, record_n
 
 
 def pages_to_records(pages: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """A response record per row of ``pages(page_id, url, html)``; a null html is an empty payload."""
+    """A response record per row of ``pages(page_id, url, html)``; a null html is an empty payload.
+
+    Ids may have any type that can be cast to a string and back. A record's id holds the page's, encoded as in a
+    URL, and a number that no other row has, so that rows that repeat a page_id have records of their own.
+    """
+    page = F.coalesce(F.concat(F.lit("urn:page:"), F.url_encode(F.col("page_id").cast("string"))), F.lit("urn:nopage:"))
     payload = F.coalesce(F.col("html"), F.lit(""))
     return pages.select(
-        F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))).alias("record_id"),
+        F.concat(page, F.lit(":"), F.monotonically_increasing_id().cast("string")).alias("record_id"),
         F.lit("response").alias("type"),
         F.col("url").alias("uri"),
         F.lit(date).alias("date"),
@@ -156,13 +161,14 @@ def revisit_pages(pages: DataFrame, per_file: int = 20_000) -> DataFrame:
     """Write ``pages`` as archives, deduplicate them, and return a row per page of the archives that result.
 
     Columns: ``page_id, payload_bytes, payload_digest, record_type, refers_to``. Both are
-    the full payload's. Rows that repeat a page_id are records of their own; a null
-    page_id comes back null. An empty table gives no rows.
+    the full payload's. Ids may be numbers, strings or dates and come back in their type. Rows that repeat a page_id are
+    records of their own; a null page_id comes back null. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     spark = pages.sparkSession
     first, second = scratch.new_path(spark, "warc"), scratch.new_path(spark, "warc-deduplicated")
     write_archives(pages_to_records(pages), first, per_file)
-    number = lambda c: F.expr(f"try_cast(substring_index({c}, ':', -1) AS bigint)")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    number = lambda c: F.when(F.startswith(c, F.lit("urn:page:")), F.url_decode(F.split_part(F.col(c), F.lit(":"), F.lit(3)))).try_cast(kind)
     deduplicate_archives(spark, first, second, number("record_id"), LEAST_BYTES, per_file)
     return read_archives(spark, second, with_payload=False).select(
         number("record_id").alias("page_id"),

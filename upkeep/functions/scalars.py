@@ -224,6 +224,12 @@ def machine_label(machine_id: Column, manufacturer: Column, filename: Column, ge
     return F.coalesce(own, F.nullif(manufacturer, F.lit("")), F.nullif(stem, F.lit("")), F.lit("EQUIPMENT"))
 
 
+def title_case(text: Column) -> Column:
+    """Every letter after something else than a letter in upper case, the others in lower case."""
+    parts = F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+
+
 def function_area_label(verb: Column, area: Column, description: Column) -> Column:
     """Safety, General, or the verb with up to four words of the text, else with the area's component."""
     rest = F.when(F.startswith(description, verb), F.regexp_replace(F.substr(description, F.length(verb) + 1), r"^[ \-:.,]+|[ \-:.,]+$", "")).otherwise(description)
@@ -234,9 +240,9 @@ def function_area_label(verb: Column, area: Column, description: Column) -> Colu
     component = None
     for k, v in R.COMPONENT_NAMES.items():
         component = F.when(area == k, v) if component is None else component.when(area == k, v)
-    component = component.otherwise(F.initcap(area))
-    named = F.when(F.size(words) > 0, F.initcap(F.array_join(words, " "))).otherwise(component)
-    return F.when((area == "SAFETY") | verb.isin("LOCKOUT", "CONFIRM"), "Safety").when((area == "GENERAL") | (F.coalesce(verb, F.lit("")) == ""), "General").otherwise(F.concat(F.initcap(verb), F.lit(" "), named))
+    component = component.otherwise(title_case(area))
+    named = F.when(F.size(words) > 0, title_case(F.array_join(words, " "))).otherwise(component)
+    return F.when((area == "SAFETY") | verb.isin("LOCKOUT", "CONFIRM"), "Safety").when((area == "GENERAL") | (F.coalesce(verb, F.lit("")) == ""), "General").otherwise(F.concat(title_case(verb), F.lit(" "), named))
 
 
 def manual_version(text: Column) -> Column:

@@ -156,16 +156,16 @@ def list_citations(citations: DataFrame, manual_id=None, content_type: str | Non
 
 
 def approve_records(records: DataFrame, ids: DataFrame, approver: str, notes: str | None, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """Records after approval of the listed ids, and the listed ones that were turned down with a reason."""
+    """Records after approval of the listed ids, and the listed ones that were turned down with a reason.
+
+    All other records keep the approval they have; columns for it that ``records`` lacks are added as nulls.
+    """
     listed = ids.select(F.col("record_id").alias("listed")).distinct()
     rows = records.join(listed, F.col("record_id") == F.col("listed"), "left")
     hit, may = F.col("listed").isNotNull(), F.col("status").isin("COMPLETED", "PENDING")
-    out = rows.withColumns({
-        "status": F.when(hit & may, "APPROVED").otherwise(F.col("status")),
-        "approved_by": F.when(hit & may, F.lit(approver)),
-        "approved_at": F.when(hit & may, as_of),
-        "approval_notes": F.when(hit & may, F.lit(notes).cast("string")),
-    }).drop("listed")
+    new = {"status": F.lit("APPROVED"), "approved_by": F.lit(approver), "approved_at": as_of, "approval_notes": F.lit(notes).cast("string")}
+    stored = lambda c: F.col(c) if c in records.columns else F.lit(None)
+    out = rows.withColumns({c: F.when(hit & may, value).otherwise(stored(c)) for c, value in new.items()}).drop("listed")
     bad = listed.join(records.select("record_id", "status"), F.col("listed") == F.col("record_id"), "left").where(F.col("status").isNull() | ~may)
     reason = F.when(F.col("status").isNull(), "not found").otherwise(F.concat(F.lit("status is "), F.col("status")))
     return out, bad.select(F.col("listed").alias("record_id"), reason.alias("reason"))

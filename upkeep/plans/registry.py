@@ -168,11 +168,34 @@ def j11_deleted(spark, d):
     return history.delete_by_ids(r, ids, "record_id")[1]
 
 
-@query("""SELECT record_id, CASE WHEN status IN ('COMPLETED', 'PENDING') AND machine_id IN (SELECT machine_id FROM {machines} WHERE NOT is_active) THEN 'APPROVED' ELSE status END AS status FROM {pm_records}""")
-def f10_approve_records(spark, d):
+# records of inactive machines are approved; those approved before keep their approver, date and note
+APPROVAL_SQL = """(SELECT *, CASE WHEN status = 'APPROVED' THEN concat('u', CAST(record_id % 9 AS VARCHAR)) END AS approved_by, CASE WHEN status = 'APPROVED' THEN created_at END AS approved_at,
+    CASE WHEN status = 'APPROVED' AND record_id % 2 = 0 THEN concat('note ', CAST(record_id AS VARCHAR)) END AS approval_notes,
+    status IN ('COMPLETED', 'PENDING') AND machine_id IN (SELECT machine_id FROM {machines} WHERE NOT is_active) AS hit FROM {pm_records})"""
+
+
+def _approval(spark, d):
     r, m = _t(spark, d, "pm_records", "machines")
     ids = r.join(m.where("NOT is_active").select("machine_id"), "machine_id", "left_semi").select("record_id")
-    return history.approve_records(r, ids, "lead", None, F.lit(AS_OF).cast("date"))[0].select("record_id", "status")
+    before = F.col("status") == "APPROVED"
+    n = F.col("record_id")
+    stored = r.withColumns({
+        "approved_by": F.when(before, F.concat(F.lit("u"), (n % 9).cast("string"))), "approved_at": F.when(before, F.col("created_at")),
+        "approval_notes": F.when(before & (n % 2 == 0), F.concat(F.lit("note "), n.cast("string"))),
+    })
+    return history.approve_records(stored, ids.unionByName(spark.range(3).select((-F.col("id") - 1).alias("record_id"))), "lead", None, F.lit(AS_OF).cast("date"))
+
+
+@query(f"""SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'APPROVED' ELSE status END AS status, CASE WHEN hit THEN 'lead' ELSE approved_by END AS approved_by,
+    CASE WHEN hit THEN DATE '{AS_OF}' ELSE approved_at END AS approved_at, CASE WHEN NOT hit THEN approval_notes END AS approval_notes) FROM {APPROVAL_SQL}""")
+def f10_approve_records(spark, d):
+    return _approval(spark, d)[0]
+
+
+@query("""SELECT record_id, concat('status is ', status) AS reason FROM {pm_records} WHERE status = 'APPROVED' AND machine_id IN (SELECT machine_id FROM {machines} WHERE NOT is_active)
+    UNION ALL SELECT -x, 'not found' FROM (VALUES (1), (2), (3)) AS v(x)""")
+def f10_turned_down(spark, d):
+    return _approval(spark, d)[1]
 
 
 @query("""SELECT r.record_id, t.total, coalesce(c.done, 0) AS done, round_even(coalesce(c.done, 0) * 100.0 / t.total, 1) AS percent
@@ -236,7 +259,9 @@ def w7_checklist_rows(spark, d):
 
 @query(Q.SHEET)
 def w8_interval_sheet_rows(spark, d):
-    return library.interval_sheet_rows(*_t(spark, d, "tasks", "machines"))
+    t, m = _t(spark, d, "tasks", "machines")
+    hyphens = F.when(F.col("task_no") % 20 == 0, F.translate("description", " ", "-")).otherwise(F.col("description"))
+    return library.interval_sheet_rows(t.withColumn("description", hyphens), m)
 
 
 APPROVE_SQL = """(SELECT e.*, u.machine_id, row_number() OVER (PARTITION BY u.machine_id, e.interval_hours, e.task_no + 5 ORDER BY e.manual_id, e.ord) AS rn

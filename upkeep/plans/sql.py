@@ -170,16 +170,23 @@ CITED = f"""SELECT manual_id, interval_hours, task_no, area, action, description
      FROM (SELECT *, list_distinct(list_filter(string_split_regex(lower(concat(coalesce(description, ''), ' ', coalesce(area, ''))), '\\s+'), lambda w: length(w) > 3)) AS w FROM {{extracted}}) e)"""
 
 _NOTE = "CASE verb " + " ".join(f"WHEN {q(v)} THEN [{', '.join(map(q, lines))}][(seq - 1) % {len(lines)} + 1]" for v, lines in R.NOTES.items()) + " END"
-_COMPONENT = "CASE area " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.COMPONENT_NAMES.items()) + " ELSE array_to_string(list_transform(string_split(area, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ') END"
+
+
+def title_case(text: str) -> str:
+    """Every letter after something else than a letter in upper case, the others in lower case."""
+    return f"array_to_string(list_transform(regexp_extract_all({text}, '\\p{{L}}+|\\P{{L}}+'), lambda w: concat(upper(w[1]), lower(w[2:]))), '')"
+
+
+_COMPONENT = "CASE area " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in R.COMPONENT_NAMES.items()) + " ELSE " + title_case("area") + " END"
 _REST_WORDS = r"""list_filter(list_transform(list_filter(string_split_regex(trim(CASE WHEN starts_with(text, verb) THEN regexp_replace(substr(text, length(verb) + 1), '^[ \-:.,]+|[ \-:.,]+$', '', 'g') ELSE text END), '\s+'), lambda w: w <> '')[1:10],
     lambda w: regexp_replace(w, '[.,;:\-/]+$', '')), lambda w: w <> '' AND w NOT IN (""" + ", ".join(map(q, R.STOP_WORDS)) + """) AND NOT starts_with(w, '('))[1:4]"""
 SHEET = f"""SELECT machine_id, interval_hours, CAST(seq * 10 AS INT) AS task_no, concat('CON L3 ', safe, ' ', CASE WHEN contains(lower(label), 'hr') THEN concat(CAST(interval_hours AS VARCHAR), ' HOURS PM') ELSE concat(upper(label), ' PM') END) AS title,
     concat('PM_', translate(safe, ' -', '__'), '_', {file_label('interval_hours')}, '.xlsx') AS file_name, label,
     CASE WHEN area = 'SAFETY' OR verb IN ('LOCKOUT', 'CONFIRM') THEN 'Safety' WHEN area = 'GENERAL' OR verb = '' THEN 'General'
-         ELSE concat(upper(verb[1]), lower(verb[2:]), ' ', CASE WHEN len(ws) > 0 THEN array_to_string(list_transform(ws, lambda w: concat(upper(w[1]), lower(w[2:]))), ' ') ELSE {_COMPONENT} END) END AS area_label,
+         ELSE concat({title_case('verb')}, ' ', CASE WHEN len(ws) > 0 THEN {title_case("array_to_string(ws, ' ')")} ELSE {_COMPONENT} END) END AS area_label,
     concat(CASE WHEN action <> '' AND NOT starts_with(text, action) THEN trim(concat(action, ' ', text)) ELSE text END, coalesce(concat(chr(10), nullif({_NOTE}, '')), '')) AS action_text FROM
     (SELECT *, {labels('interval_hours')} AS label, {_REST_WORDS} AS ws FROM
-        (SELECT t.machine_id, t.interval_hours, upper(trim(coalesce(t.area, 'GENERAL'))) AS area, upper(trim(t.action)) AS action, string_split_regex(upper(trim(t.action)), '\\s+')[1] AS verb, upper(trim(t.description)) AS text,
+        (SELECT t.machine_id, t.interval_hours, upper(trim(coalesce(t.area, 'GENERAL'))) AS area, upper(trim(t.action)) AS action, string_split_regex(upper(trim(t.action)), '\\s+')[1] AS verb, upper(trim(CASE WHEN t.task_no % 20 = 0 THEN translate(t.description, ' ', '-') ELSE t.description END)) AS text,
             {safe_name('m.name')} AS safe, row_number() OVER (PARTITION BY t.machine_id, t.interval_hours ORDER BY t.task_no) AS seq FROM {{tasks}} t JOIN {{machines}} m ON m.machine_id = t.machine_id WHERE t.is_active))"""
 NAMES = f"""SELECT machine_id, interval_hours, {labels('interval_hours')} AS label, concat('PM_', translate(safe, ' -', '__'), '_', {file_label('interval_hours')}, '.xlsx') AS file_name,
     concat('CON L3 ', safe, ' ', CAST(interval_hours AS VARCHAR), ' HOURS PM') AS title, array_to_string(list_transform(string_split(safe, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), '_') AS stem,
@@ -201,10 +208,11 @@ TYPES = f"""SELECT doc_id, {content_type('h')} AS content_type, coalesce({_VERSI
 _MIDPOINT = lambda valid: f"(SELECT arg_min(v, abs(v - h) * CAST(1000000 AS BIGINT) + v) FROM (VALUES {', '.join(f'({v})' for v in valid)}) AS n(v))"
 SNAPPED = f"""SELECT o_orderkey, CASE WHEN abs(near - h) * 5 < greatest(h, 1) THEN near ELSE h END AS snapped, strict FROM
     (SELECT o_orderkey, h, {_MIDPOINT(R.VALID_INTERVALS)} AS near, {_MIDPOINT(R.STRICT_INTERVALS)} AS strict FROM (SELECT o_orderkey, CAST(o_custkey AS INT) AS h FROM orders))"""
-FALLBACK = """SELECT u.manual_id, u.m AS machine_id, t.task_no, coalesce(t.area, 'GENERAL') AS area, coalesce(t.action, 'CHECK') AS action, coalesce(t.machine_state, 'STOPPED') AS machine_state, coalesce(t.interval_hours, 500) AS interval_hours, t.description FROM
-    (SELECT manual_id, CASE WHEN machine_id IN (SELECT machine_id FROM {machines}) THEN machine_id
-        ELSE (SELECT arg_min(m.machine_id, struct_pack(a := m.name, b := m.machine_id)) FROM {machines} m WHERE m.is_active AND contains(lower(m.name), lower(u.detected_manufacturer))) END AS m
-     FROM {manual_uploads} u WHERE status = 'FAILED' AND manual_id NOT IN (SELECT manual_id FROM {extracted})) u JOIN {tasks} t ON t.machine_id = u.m"""
+FALLBACK = """SELECT * FROM (WITH u AS (SELECT manual_id, machine_id, lower(detected_manufacturer) AS maker, machine_id IN (SELECT machine_id FROM {machines}) AS own FROM {manual_uploads}
+        WHERE status = 'FAILED' AND manual_id NOT IN (SELECT manual_id FROM {extracted})),
+    named AS (SELECT maker, arg_min(m.machine_id, struct_pack(a := m.name, b := m.machine_id)) AS machine_id FROM (SELECT DISTINCT maker FROM u) JOIN {machines} m ON m.is_active AND contains(lower(m.name), maker) GROUP BY maker)
+    SELECT u.manual_id, t.machine_id, t.task_no, coalesce(t.area, 'GENERAL') AS area, coalesce(t.action, 'CHECK') AS action, coalesce(t.machine_state, 'STOPPED') AS machine_state, coalesce(t.interval_hours, 500) AS interval_hours, t.description
+    FROM u LEFT JOIN named USING (maker) JOIN {tasks} t ON t.machine_id = CASE WHEN own THEN u.machine_id ELSE named.machine_id END)"""
 
 
 def finalized(source: str, first_by: str, apart: str = "") -> str:

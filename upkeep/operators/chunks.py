@@ -10,6 +10,8 @@ from upkeep.functions import rules as R
 from upkeep.functions import scalars as S
 from upkeep.operators.extract import TABLE, table_rows
 from upkeep.operators.pages import table_scan_pages
+from upkeep.operators.ranges import RANGE, bounded, carried, dealt, numbered
+from upkeep.sources.files import shared_table
 
 CHUNK = ["manual_id", "chunk_type", "section_heading", "text", "page_start", "page_end", "char_start", "char_end", "interval_hint", "content_type", "ord"]
 
@@ -47,32 +49,49 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(S.strip(text), r"(?U)\s+"), lambda w: w != ""))
 
 
+def _lines(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    """Each page's lines that aren't blank; of pages beyond ``max_pages`` none."""
+    near = F.lit(True) if max_pages is None else F.col("page_no") <= max_pages
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), S.strip), lambda x: x != "")
+    return pages.where(F.col("page_no").isNotNull()).select("manual_id", "page_no", F.when(near, lines).otherwise(F.array().cast("array<string>")).alias("lines"))
+
+
 def section_chunks(pages: DataFrame, min_words: int = 20, max_pages: int | None = 120) -> DataFrame:
     """Text under each heading of the first pages (all, with None), with the heading in front; sections of too few words are left out.
 
-    Pages are dealt by manual once; numbering, grouping and the next heading's page keep that partitioning.
+    Headings are counted by page and summed up over ranges of pages; every page is then cut by itself, and what its parts
+    add to sections of one number is put together. No window runs over the lines of a manual. A section is a row, however many pages it has.
+    Pages without a number are left out.
     """
-    manual = W.partitionBy("manual_id")
-    cut = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("line_no"), S.strip(line).alias("line"))), lambda x: x["line"] != "")
-    if max_pages is not None:
-        cut = F.when(F.col("page_no") <= max_pages, cut)
-    lines = pages.select("manual_id", "page_no", F.max("page_no").over(manual).alias("last_page"), "text")
-    lines = lines.select("manual_id", "page_no", "last_page", F.explode(cut).alias("x")).select("manual_id", "page_no", "last_page", "x.*")
-    lines = lines.withColumn("head", S.is_heading(F.col("line")))
-    lines = lines.withColumn("section", F.count(F.when(F.col("head"), 1)).over(manual.orderBy("page_no", "line_no").rowsBetween(W.unboundedPreceding, 0)))
-    item = F.struct("page_no", "line_no", "line", S.detect_interval(F.col("line")).alias("iv"))
-    grouped = lines.groupBy("manual_id", "section").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("head"), item))).alias("body"),
-        F.max(F.when(F.col("head"), F.col("line"))).alias("heading"),
-        F.max(F.when(F.col("head"), F.col("page_no"))).alias("head_page"),
-        F.max("last_page").alias("last_page"),
+    cut = _lines(dealt(pages, "manual_id", "page_no"), max_pages)
+    heads = F.filter(F.transform("lines", lambda x, i: F.when(S.is_heading(x), i)), lambda i: i.isNotNull())
+    places = cut.select("manual_id", "page_no", heads.alias("heads")).groupBy("manual_id", "page_no").agg(F.max("heads").alias("heads"))
+    counts = shared_table(places.withColumn("n_heads", F.size("heads")), "headings")
+    before = bounded(shared_table(carried(counts, ["manual_id"], "page_no", sums={"before": "n_heads"}).select("manual_id", "page_no", "heads", "before"), "sections-before"))
+    empty = "named_struct('page_no', CAST(NULL AS INT), 'lines', CAST(NULL AS ARRAY<STRING>))"
+    # part k of a page starts below its heading k; part 0 goes on with the section before
+    starts = F.concat(F.array(F.lit(-1)), "heads")
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("lines"))
+    part = lambda s, k: F.struct(
+        (F.col("before") + k).alias("section"), F.when(k > 0, F.get("lines", s)).alias("heading"), F.when(k > 0, F.col("page_no")).alias("head_page"),
+        F.lit(None).cast("int").alias("next_page"), F.struct(F.col("page_no").cast("int").alias("page_no"), F.slice("lines", s + 2, end(k) - s - 1).alias("lines")).alias("body"),
+    )
+    # a heading also tells the section before it where the next one starts
+    close = lambda s, k: F.struct((F.col("before") + k).alias("section"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("int").alias("head_page"), F.col("page_no").cast("int").alias("next_page"), F.expr(empty).alias("body"))
+    kind = "array<struct<section:bigint,heading:string,head_page:int,next_page:int,body:struct<page_no:int,lines:array<string>>>>"
+    rows = cut.join(before, ["manual_id", "page_no"]).withColumn("starts", starts)
+    rows = rows.select("manual_id", F.explode(F.concat(F.transform("starts", part).cast(kind), F.transform("heads", close).cast(kind))).alias("x")).select("manual_id", "x.*")
+    last = counts.groupBy("manual_id").agg(F.sum("n_heads").alias("section"), F.max("page_no").cast("int").alias("last_page"))
+    rows = rows.unionByName(last, allowMissingColumns=True)
+    grouped = rows.groupBy("manual_id", "section").agg(
+        F.array_sort(F.collect_list(F.when(F.size("body.lines") > 0, F.col("body")))).alias("of"),
+        *[F.max(c).alias(c) for c in ("heading", "head_page", "next_page", "last_page")],
     )
-    grouped = grouped.withColumn("next_page", F.lead("head_page").over(manual.orderBy("section")))
-    body = F.array_join(F.transform("body", lambda x: x["line"]), "\n")
-    rows = grouped.withColumn("body_text", body).where((F.size("body") > 0) & (word_count(F.col("body_text")) >= min_words))
+    lines = F.flatten(F.transform("of", lambda x: x["lines"]))
+    rows = grouped.where(F.size("of") > 0).withColumn("body", lines).withColumn("body_text", F.array_join("body", "\n")).where(word_count(F.col("body_text")) >= min_words)
     heading = F.coalesce("heading", F.lit(""))
     text = F.concat(F.when(heading != "", F.concat(F.lit("[SECTION: "), heading, F.lit("]\n"))).otherwise(""), "body_text")
-    hint = F.coalesce(S.detect_interval(heading), F.get(F.filter(F.transform("body", lambda x: x["iv"]), lambda v: v.isNotNull()), F.lit(0)))
+    hint = F.coalesce(S.detect_interval(heading), F.get(F.filter(F.transform("body", S.detect_interval), lambda v: v.isNotNull()), F.lit(0)))
     return rows.select(
         "manual_id", F.lit("section").alias("chunk_type"), heading.alias("section_heading"), text.alias("text"),
         F.coalesce("head_page", F.lit(1)).alias("page_start"), F.coalesce("next_page", "last_page").alias("page_end"),
@@ -168,25 +187,24 @@ def table_row_chunks(pages: DataFrame, first_pages: int | None = 80) -> DataFram
 def chunk_pages(pages: DataFrame, max_words: int = 800) -> DataFrame:
     """Table rows, then sections with their list items; manuals with neither get sliding windows.
 
-    Pages go along with the chunks, and where a manual has no chunk its pages are joined and cut
-    into windows, so that nothing is computed twice to find such manuals.
+    Chunks are written once; they are numbered by counts for each thousand pages, and the manuals that have none are found
+    without making chunks again. Windows run over a manual's whole text, which is one row.
     """
     tables = table_row_chunks(pages).select(*CHUNK).withColumns({"part": F.lit(0), "item": F.lit(0), "grp": F.lit(0)})
     sections = checkbox_chunks(split_long_sections(section_chunks(pages), max_words)).withColumn("grp", F.lit(1))
-    found = tables.unionByName(sections.select(*tables.columns))
-    own = pages.select("manual_id", F.coalesce("text", F.lit("")).alias("text"), F.col("page_no").alias("page_start"), F.lit(2).alias("grp"))
-    rows = found.unionByName(own, allowMissingColumns=True)
-    rows = rows.withColumn("n", F.count(F.when(F.col("grp") < 2, 1)).over(W.partitionBy("manual_id"))).where((F.col("grp") < 2) | (F.col("n") == 0))
-    order = F.row_number().over(W.partitionBy("manual_id").orderBy("grp", "ord", "part", "item", "page_start"))
-    rows = rows.withColumn("ord", F.when(F.col("grp") < 2, order).cast("bigint"))
-    # pages of a manual are one group, and every chunk is a group of its own
-    chunk = F.struct(*CHUNK[1:])
-    rows = rows.groupBy("manual_id", F.col("ord").alias("o")).agg(F.array_sort(F.collect_list(F.struct(F.col("page_start").alias("page_no"), chunk.alias("c")))).alias("of"))
-    kind = rows.schema["of"].dataType.elementType["c"].dataType.simpleString()
-    whole = F.array_join(F.transform("of", lambda x: x["c"]["text"]), "\n")
-    window = lambda x, i: F.struct(F.lit("text"), F.lit(""), x["t"], F.lit(0), F.lit(0), x["a"], x["a"] + F.length(x["t"]), F.lit(None).cast("int"), F.lit("procedure"), i.cast("bigint")).cast(kind)
-    out = F.when(F.col("o").isNotNull(), F.transform("of", lambda x: x["c"])).otherwise(F.transform(_windows(whole, 500, 103), window))
-    return rows.select("manual_id", F.explode(out).alias("c")).select("manual_id", "c.*").select(*CHUNK)
+    found = shared_table(tables.unionByName(sections.select(*tables.columns)), "chunks")
+    # within tables and within sections, page_start never falls as ord rises
+    coarse = [F.col("grp"), F.floor(F.col("page_start") / RANGE)]
+    done = numbered(found.withColumnRenamed("ord", "ord_"), ["manual_id"], coarse, ["ord_", "part", "item"], "ord").select(*CHUNK)
+    has = bounded(shared_table(found.select("manual_id").distinct(), "manuals-with-chunks"))
+    rest = pages.join(has, "manual_id", "left_anti").groupBy("manual_id").agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("t")))).alias("of"))
+    whole = F.array_join(F.transform("of", lambda x: x["t"]), "\n")
+    rest = rest.select("manual_id", F.posexplode(_windows(whole, 500, 103)).alias("ord", "c"))
+    plain = {
+        "chunk_type": F.lit("text"), "section_heading": F.lit(""), "text": F.col("c.t"), "page_start": F.lit(0), "page_end": F.lit(0), "char_start": F.col("c.a"),
+        "char_end": F.col("c.a") + F.length("c.t"), "interval_hint": F.lit(None), "content_type": F.lit("procedure"), "ord": F.col("ord"),
+    }
+    return done.unionByName(rest.select("manual_id", *[v.cast(done.schema[c].dataType).alias(c) for c, v in plain.items()]))
 
 
 def markdown_chunks(docs: DataFrame, words_per_chunk: int = 400) -> DataFrame:

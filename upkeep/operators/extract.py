@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from upkeep.functions import rules as R
 from upkeep.functions import scalars as S
 from upkeep.operators.pages import pm_candidate_pages
-from upkeep.operators.tasks import finalize_tasks
+from upkeep.operators.ranges import carried
+from upkeep.operators.tasks import finalize_tasks, merge_places
+from upkeep.sources.files import shared_table
 
 
 TABLE = ["manual_id", "page_no", "table_idx"]
@@ -158,9 +160,17 @@ def _hit(unit: int):
     return lambda x: F.struct(S.snap_interval(F.regexp_replace(x["n"], "[,.]", "").try_cast("int") * unit).alias("iv"), S.strip(x["t"]).alias("t"))
 
 
-def _with_text_tasks(rows: DataFrame) -> DataFrame:
-    """Add ``by_text``, the tasks of a page's running text; every pattern runs once over a page, its groups are taken from the matches."""
-    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+def _ranked(k: int):
+    """A match with its pattern and place."""
+    return lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x["iv"].cast("int").alias("iv"), x["t"].alias("t"))
+
+
+def _text_hits(pages: DataFrame) -> DataFrame:
+    """What each page's text gives by itself: ``found`` tasks with their interval, ``bullets`` without one, and the last interval named.
+
+    Every pattern runs once over a page, its groups are taken from the matches. Pages that give nothing are left out.
+    """
+    rows = pages.select("manual_id", "page_no", F.coalesce("text", F.lit("")).alias("text"))
     flags, has_digit = "(?iud)", F.rlike("text", F.lit(r"\d"))
     anchors, found = {}, []
 
@@ -177,44 +187,46 @@ def _with_text_tasks(rows: DataFrame) -> DataFrame:
         long_ = F.filter(f"h{k}", lambda x: F.length(x["t"]) > 10)
         anchor = F.col(f"h{k}") if k == 1 else F.filter(long_, lambda x: ~S.is_non_pm(x["t"])) if k == 5 else long_
         anchors[k] = F.try_element_at(anchor, F.lit(-1))["iv"]
-        found.append((k, long_))
+        found.append(F.transform(long_, _ranked(k)))
     sections = F.filter(F.transform(F.regexp_extract_all("text", F.lit(flags + SECTION_PATTERN), F.lit(1)), lambda x: S.snap_interval(F.regexp_replace(x, "[,.]", "").try_cast("int"))), S.is_valid_interval)
     anchors[6] = F.when(has_digit, F.try_element_at(sections, F.lit(-1)))
-    rows = rows.withColumn("page_anchor", F.coalesce(*[anchors[k] for k in (6, 5, 4, 3, 2, 1)]))
-    order = W.partitionBy("manual_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("anchor", F.last("page_anchor", ignorenulls=True).over(order))
-    bullets = F.transform(F.regexp_extract_all("text", F.lit(flags + BULLET_PATTERN), F.lit(1)), lambda x: F.struct(F.col("anchor").alias("iv"), S.strip(x).alias("t")))
-    bullets = F.when(F.col("anchor").isNotNull(), F.filter(bullets, lambda x: F.length(x["t"]) > 10)).otherwise(F.array().cast("array<struct<iv:int,t:string>>"))
-    ranked = lambda k, a: F.transform(a, lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("i"), x["iv"].cast("int").alias("iv"), x["t"].alias("t")))
-    hits = F.concat(*[ranked(k, a) for k, a in found], ranked(7, bullets))
+    bullets = F.filter(F.transform(F.regexp_extract_all("text", F.lit(flags + BULLET_PATTERN), F.lit(1)), S.strip), lambda t: F.length(t) > 10)
+    page = F.struct(F.concat(*found).alias("found"), bullets.alias("bullets"), F.coalesce(*[anchors[k] for k in (6, 5, 4, 3, 2, 1)]).cast("int").alias("page_anchor"))
+    # a filter on the columns would be pushed below them and run the patterns again
+    full = F.filter(F.array(page), lambda x: (F.size(x["found"]) > 0) | (F.size(x["bullets"]) > 0) | x["page_anchor"].isNotNull())
+    return rows.select("manual_id", "page_no", F.explode(full).alias("x")).select("manual_id", "page_no", "x.*")
+
+
+def _text_tasks(candidates: DataFrame) -> DataFrame:
+    """Tasks of running text. What pages give is written once; the last interval named before a page is carried over ranges of pages."""
+    rows = carried(shared_table(_text_hits(candidates), "page-hits"), ["manual_id"], "page_no", lasts={"anchor": "page_anchor"})
+    rows = rows.withColumn("anchor", F.coalesce("page_anchor", "anchor"))
+    under = F.transform("bullets", lambda t, i: F.struct(F.lit(7).alias("k"), i.alias("i"), F.col("anchor").alias("iv"), t.alias("t")))
+    hits = F.concat("found", F.when(F.col("anchor").isNotNull(), under).otherwise(F.array().cast("array<struct<k:int,i:int,iv:int,t:string>>")))
     everything = F.transform(hits, lambda x: _made(_ord(3, "page_no", x["k"], x["i"]), S.detect_area(x["t"]), S.detect_action(x["t"]), x["t"], x["iv"]))
-    return rows.withColumn("by_text", _several(everything)).drop("page_anchor", "anchor", *[f"h{k}" for k, _ in found])
+    return _exploded(rows.withColumn("by_text", _several(everything)), "by_text")
 
 
 def text_pattern_tasks(pages: DataFrame) -> DataFrame:
     """Tasks that running text names with their interval, and bullets under the last interval named, over pages in order."""
-    return _exploded(_with_text_tasks(pm_candidate_pages(pages).select("manual_id", "page_no", "text")), "by_text")
+    return _text_tasks(pm_candidate_pages(pages))
 
 
 def extract_from_pages(pages: DataFrame) -> DataFrame:
     """All strategies together: each finalized, then finalized again; tables come before text.
 
-    Pages are dealt by manual once. Candidate pages, intervals carried along pages and tables, and
-    both rounds of finalizing keep that partitioning.
+    No step needs a manual in one task: candidate pages are chosen by number, a page's text is read by itself, tables are spread by page,
+    intervals are carried over ranges of pages, and tasks are merged and numbered by what they hold.
     """
-    rows = _with_text_tasks(pm_candidate_pages(pages).select("manual_id", "page_no", "text", "tables"))
-    # beside the tables a page has one more, with a single row that carries what its text gave
-    none, text_only = F.array().cast("array<array<string>>"), F.col("table_idx") == 0
-    rows = rows.select("manual_id", "page_no", "by_text", F.concat(F.array(F.array(F.array().cast("array<string>"))), F.coalesce("tables", F.array(none))).alias("tables"))
-    rows = table_rows(rows, "by_text")
+    candidates = pm_candidate_pages(pages)
+    tables = table_rows(candidates.where(F.size("tables") > 0))
     for add in (_with_header_tasks, _with_interval_column_tasks, _with_generic_tasks):
-        rows = add(rows)
-    rows = rows.withColumn("by_text", F.when(text_only, F.col("by_text")).otherwise(F.array().cast(NO_TASKS)))
-    rows = _exploded(rows, "by_header", "by_column", "by_number", "by_text")
+        tables = add(tables)
+    rows = _exploded(tables, "by_header", "by_column", "by_number").unionByName(_text_tasks(candidates))
     # headings and interval columns are one strategy
     rows = rows.withColumn("source", F.greatest(F.col("ord.strategy"), F.lit(1)))
-    done = finalize_tasks(rows, "source")
-    return finalize_tasks(done.withColumn("ord", F.struct("source", "ord")).drop("source"))
+    done = merge_places(rows, "source")
+    return finalize_tasks(done.withColumn("ord", F.struct("source", "interval_hours", "area", "core")).drop("source", "core"))
 
 
 def pmrspl_tasks(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from upkeep.functions import rules as R
 from upkeep.functions import scalars as S
+from upkeep.operators.ranges import bounded, dealt
+from upkeep.sources.files import shared_table
 
 FALLBACK_PAGES = 600
 
@@ -23,19 +25,28 @@ def classification_sample(pages: DataFrame, max_pages: int | None = 50, enough:
     return rows.groupBy("manual_id").agg(F.substring(joined, 1, cut).alias("sample"))
 
 
+def candidate_keys(pages: DataFrame, fallback_pages: int | None = FALLBACK_PAGES) -> DataFrame:
+    """``manual_id, page_no`` of pages with maintenance words, of the page before and two after; of manuals without any, of their first pages.
+
+    Texts are read once, where they lie; only page numbers are shuffled. The result is a written table, in which pages that
+    don't exist may be named. Pages without a number are left out.
+    """
+    hit = F.rlike(F.coalesce("text", F.lit("")), F.lit(f"(?iu){R.CANDIDATE}"))
+    marks = shared_table(pages.where("page_no IS NOT NULL").select("manual_id", "page_no", hit.alias("hit")), "page-marks")
+    near = marks.where("hit").select("manual_id", F.explode(F.sequence(F.col("page_no") - 1, F.col("page_no") + 2)).alias("page_no"))
+    none = marks.groupBy("manual_id").agg(F.max("hit").alias("any_hit")).where("not any_hit").select("manual_id")
+    early = F.lit(True) if fallback_pages is None else F.col("page_no") <= fallback_pages
+    first = marks.where(early).join(none, "manual_id", "left_semi").select("manual_id", "page_no")
+    return shared_table(near.unionByName(first).distinct(), "page-keys")
+
+
 def pm_candidate_pages(pages: DataFrame, fallback_pages: int | None = FALLBACK_PAGES) -> DataFrame:
     """Pages with maintenance words, the page before and two after; manuals without any keep their first pages (all, with None).
 
-    Pages are dealt by manual before their text is looked at, so that few large files don't mean few tasks.
+    Chosen pages are picked by number: where the numbers fit in memory (their rows are counted), no page is shuffled.
     """
-    hit = F.rlike(F.coalesce("text", F.lit("")), F.lit(f"(?iu){R.CANDIDATE}")).cast("int")
-    manual = W.partitionBy("manual_id")
-    rows = pages.repartition("manual_id").withColumn("hit", hit)
-    near = F.max("hit").over(manual.orderBy("page_no").rangeBetween(-2, 1))
-    any_hit = F.max("hit").over(manual)
-    rows = rows.withColumns({"near": near, "any_hit": any_hit})
-    first = F.lit(True) if fallback_pages is None else F.col("page_no") <= fallback_pages
-    return rows.where((F.col("near") == 1) | (F.col("any_hit") == 0) & first).drop("hit", "near", "any_hit")
+    pages = dealt(pages, "manual_id", "page_no")
+    return pages.join(bounded(candidate_keys(pages, fallback_pages)), ["manual_id", "page_no"], "left_semi").select(*pages.columns)
 
 
 def pm_page_pool(pages: DataFrame, pool: DataFrame, first: int = 120) -> DataFrame:

@@ -452,7 +452,10 @@ def x11_pmrspl_tasks(spark, d):
 @query()
 def u1_extract_from_pages(spark, d):
     t, p = _table_pages(spark, d), _pages(spark, d)
-    return extract.extract_from_pages(t.unionByName(p.withColumn("tables", F.lit(None).cast("array<array<array<string>>>"))))
+    # pages are files in practice; what stands in for them is made once
+    every = t.unionByName(p.withColumn("tables", F.lit(None).cast("array<array<array<string>>>")))
+    every = files.shared_table(every.repartition(4 * spark.sparkContext.defaultParallelism, "manual_id", "page_no"), "manual-pages")
+    return extract.extract_from_pages(every)
 
 
 @query(Q.TABLE_CHUNKS)

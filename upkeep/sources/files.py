@@ -21,13 +21,27 @@ def read_pages(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; on one machine a temporary one will do."""
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``; on one machine a temporary one will do.
+
+    What is written there goes when the application ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="upkeep-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{folder.rstrip('/')}/upkeep-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table as read back, so that what made it isn't computed again."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,6 @@ from upkeep.functions import scalars as S
 from upkeep.operators import chunks, extract, history, library, pages, retrieve, tasks, validate
 from upkeep.plans import registry
 from upkeep.sources import files
-from upkeep.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 PAGE = "manual_id string, page_no int, text string, tables array<array<array<string>>>"
@@ -268,18 +267,6 @@ def test_cosine_in_blocks(spark):
     assert {r.score for r in retrieve.cosine_topk(zero, v, 2).collect()} == {0.0}
 
 
-def test_streams(spark, tmp_path):
-    pages_in = spark.createDataFrame([("m", "f", 1, 1, "Every 500 hours: replace the main oil filter\n", None)], files.PAGES)
-    pages_in.write.parquet(f"{tmp_path}/in")
-    streams.stream_manuals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    assert [r.description for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["REPLACE THE MAIN OIL FILTER"]
-    hours = spark.createDataFrame([(1, "a", 5, 30), (2, "a", 9, 20), (3, "b", 1, 1)], "entry_id int, machine_id string, current_hours int, recorded_at int")
-    hours.repartition(3).write.parquet(f"{tmp_path}/h")
-    q = streams.stream_latest_hours(spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/h"), "latest_hours", f"{tmp_path}/cp2")
-    q.awaitTermination()
-    assert {r.machine_id: r.current_hours for r in spark.table("latest_hours").collect()} == {"a": 5, "b": 1}
-
-
 def plain_text_tasks(rows):
     """What the text patterns find, page by page with Python's own regular expressions: (manual, page, interval, task)."""
     snap = lambda h: (n if abs((n := min(R.VALID_INTERVALS, key=lambda v: (abs(v - h), v))) - h) / max(h, 1) < 0.2 else h)

@@ -13,7 +13,7 @@ from upkeep.operators import chunks, extract, history, library, pages, retrieve,
 from upkeep.plans import sql as Q
 from upkeep.sources import files
 from upkeep.sources.adapters import domain_table, with_domain
-from upkeep.streaming import streams
+from upkeep.streaming import streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -736,16 +736,45 @@ def st1_stream_manuals(spark, d):
     source, target, state = (files.shared_path(spark, n) for n in ("manuals", "extracted", "state"))
     kind = {f.split()[0]: f.split()[1] for f in files.PAGES.split(", ")}
     pages_ = _table_pages(spark, d).withColumns({"source_file": F.lit("f"), "n_pages": F.lit(7)})
-    pages_.select(*[F.col(c).cast(t) for c, t in kind.items()]).write.parquet(source)
-    streams.stream_manuals(spark, source, target, state).awaitTermination()
-    return spark.read.parquet(target).select("manual_id", "task_no", "interval_hours", "area", "action", "description")
+    # pages of a manual come in two batches, later ones first
+    rows = pages_.select(*[F.col(c).cast(t) for c, t in kind.items()]).withColumn("late", (F.col("page_no") < 4).cast("int"))
+    for late in (0, 1):
+        rows.where(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(source)
+    streams.stream_manuals(spark, source, target, state, 1, buckets=8).awaitTermination()
+    return tables.current(spark, target).select("manual_id", "task_no", "interval_hours", "area", "action", "description")
+
+
+@query("""SELECT machine_id AS manual_id, count(DISTINCT interval_hours) AS arrived, 7 AS n_pages, count(DISTINCT interval_hours) >= 7 AS complete FROM {tasks} WHERE is_active GROUP BY machine_id""")
+def st1_manual_progress(spark, d):
+    target = files.shared_path(spark, "progress")
+    rows = _table_pages(spark, d).withColumns({"source_file": F.lit("f"), "n_pages": F.lit(7)})
+    for version, part in enumerate((rows.where("page_no % 2 = 0"), rows)):
+        tables.upsert(part.withColumn("arrived", F.lit(version)), f"{target}-pages", ["manual_id", "page_no"], F.col("arrived"), version, spread_by=["manual_id"])
+    return streams.manual_progress(spark, target)
+
+
+def _arriving(spark, rows, batches: int):
+    """``rows`` as a stream of a file a batch."""
+    source = files.shared_path(spark, "arriving")
+    rows.repartition(batches).write.parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
 @query("""SELECT machine_id, entry_id, current_hours, recorded_at FROM (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY recorded_at DESC, entry_id DESC) AS rn FROM {machine_hours}) WHERE rn = 1""")
 def st2_stream_latest_hours(spark, d):
-    source, state = (files.shared_path(spark, n) for n in ("readings", "state"))
-    hours = domain_table(spark, d, "machine_hours")
-    hours.write.parquet(source)
-    name = "latest_hours_" + state[-8:]
-    streams.stream_latest_hours(spark.readStream.schema(hours.schema).parquet(source), name, state).awaitTermination()
-    return spark.table(name)
+    target, state = (files.shared_path(spark, n) for n in ("latest-hours", "state"))
+    streams.stream_latest_hours(_arriving(spark, domain_table(spark, d, "machine_hours"), 3), target, state, buckets=8).awaitTermination()
+    return tables.current(spark, target).drop("bucket")
+
+
+@query(f"SELECT * FROM {DUE_SQL}")
+def st2_stream_due_schedule(spark, d):
+    m, i, h, r = _t(spark, d, "machines", "pm_intervals", "machine_hours", "pm_records")
+    target, state = (files.shared_path(spark, n) for n in ("due", "state"))
+    reading = F.struct("entry_id", "current_hours", "recorded_at").alias("reading")
+    record = F.struct("record_id", "interval_hours", "status", "completed_at", F.lit(1).alias("revision")).alias("record")
+    first = F.struct("record_id", "interval_hours", F.lit("PENDING").alias("status"), F.lit(None).cast("date").alias("completed_at"), F.lit(0).alias("revision")).alias("record")
+    changes = h.select("machine_id", reading).unionByName(r.select("machine_id", record), allowMissingColumns=True).unionByName(r.where("record_id % 3 = 0").select("machine_id", first), allowMissingColumns=True)
+    streams.start_due_schedule(m, i, target, buckets=8)
+    streams.stream_due_schedule(_arriving(spark, changes, 3), m, i, target, state, buckets=8).awaitTermination()
+    return tables.current(spark, target).drop("bucket")

@@ -63,6 +63,20 @@ def test_alignment_against_plain_edit_distance():
         assert decontaminate.align([p], [t])[0][0] == min(d[-1])
 
 
+def test_short_passages_of_an_item(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id")
+    planted, plain = [], "lorem ipsum dolor sit amet consetetur sadipscing elitr "
+    for item, text in [tuple(r) for r in bench.select("item_id", "text").collect()]:
+        for n in (80, 90, 100, 120):
+            for at in range(0, max(len(text) - n, 0), 17):
+                words = text[at : at + n]
+                planted.append((len(planted), item, plain + words + " nonumy eirmod tempor"))
+                planted.append((len(planted), item, plain + words[:30] + ("x" if words[30] != "x" else "y") + words[31:] + " nonumy eirmod tempor"))
+    docs = spark.createDataFrame([(i, t) for i, _, t in planted] + [(-1, plain * 9)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert {(i, item) for i, item, _ in planted} <= found and -1 not in {i for i, _ in found}
+
+
 def test_decontamination(spark):
     r = random.Random(2)
     words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 8))) for _ in range(3_000)]

@@ -24,7 +24,11 @@ from upkeep.llm import words as wd
 Q = 8
 SEGMENT = 100
 RATE = 0.1
-#: Bytes of benchmark text that go to the tasks at once (about 45 MB of index each); a larger benchmark takes several passes.
+#: Shorter segments with fewer edits, one every ``STEP`` characters: every passage of 80 characters holds a whole one.
+SHORT = 60
+STEP = 20
+SHORT_EDITS = 2
+#: Bytes of benchmark text that go to the tasks at once (an index of about 45 MB each for the long segments, an estimated 110 with the short ones); a larger benchmark takes several passes.
 BLOCK_BYTES = 1 << 20
 _KEEP = wd._LETTER_OR_DIGIT
 
@@ -85,30 +89,38 @@ def build(items: list[tuple[int, str]], segment: int = SEGMENT, rate: float = RA
     """Segments of the items and their q-grams.
 
     Items are cut into segments that overlap by half, so every passage of one and a half
-    segments holds a whole one. Grams that more than ``common`` segments have are left
-    out of a segment's count where its bound, less their number, stays above 0: the lemma
+    segments holds a whole one, and again into short ones, which overlap by two thirds and may have
+    fewer edits. Grams that more than ``common`` long segments have, or half as many again of the short ones, are left
+    out of such a segment's count where its bound, less their number, stays above 0: the lemma
     then holds for the grams that are left.
     """
-    segs, item, start, size = [], [], [], []
+    segs, item, start, size, short = [], [], [], [], []
     for i, text in items:
         body = normal(*wd.buffers(pa.array([text])))[0]
         n = len(body)
         if n < q:
             continue
         starts = [0] if n <= segment else [*range(0, n - segment, segment // 2), n - segment]
-        for s in starts:
-            segs.append(body[s : s + segment])
+        close = [*range(0, n - SHORT, STEP), n - SHORT] if n > SHORT and segment > SHORT else []
+        for s, m in [*((s, segment) for s in starts), *((s, SHORT) for s in close)]:
+            segs.append(body[s : s + m])
             item.append(i)
             start.append(s)
             size.append(n)
+            short.append(m < segment)
     length = np.array([len(s) for s in segs], np.int64)
     edits = np.minimum((length * rate).astype(np.int64), (length - q) // q)
+    short = np.array(short, bool)
+    edits = np.where(short, np.minimum(edits, SHORT_EDITS), edits)
     bound = length + 1 - q - q * edits
     code = np.concatenate([grams(s, q) for s in segs]) if segs else np.zeros(0, np.uint64)
     of = np.repeat(np.arange(len(segs)), length - q + 1)
     at = np.concatenate([np.arange(n - q + 1) for n in length]) if segs else np.zeros(0, np.int64)
-    _, inverse, times = np.unique(code, return_inverse=True, return_counts=True)
-    frequent = times[inverse] > common
+    frequent = np.zeros(len(code), bool)
+    for kind, most in ((short, common * 3 // 2), (~short, common)):
+        mine = kind[of] if len(of) else frequent
+        _, inverse, times = np.unique(code[mine], return_inverse=True, return_counts=True)
+        frequent[mine] = times[inverse] > most
     dropped = np.bincount(of[frequent], minlength=len(segs))
     drop = bound > dropped
     bound = np.where(drop, bound - dropped, bound)
@@ -206,7 +218,7 @@ def find_contamination(
 
     Columns: ``doc_id, item_id, start_byte, end_byte, n_segments, edits, coverage``. A place
     counts when a segment of ``segment`` normal characters of the item (a shorter item
-    whole) is there with at most ``rate`` edits a character. Bytes are those of the UTF-8
+    whole) is there with at most ``rate`` edits a character, or one of ``SHORT`` with at most ``SHORT_EDITS``. Bytes are those of the UTF-8
     text from the first to the last place, ``edits`` the fewest of a segment, ``coverage``
     the share of the item inside found segments. Null and empty texts hold nothing, and
     null ids of either table stay null; rows that repeat an id give a row each; items that are null or

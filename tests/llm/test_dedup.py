@@ -108,6 +108,36 @@ def test_large_regions_are_split(spark, monkeypatch):
     assert {g.doc_id: g.component_id for g in jaccard_join.link_documents(frame(spark, rows)).collect()} == want
 
 
+def test_regions_that_windows_cannot_part_are_not_copied(spark, monkeypatch):
+    """Near copies too far apart to link and too close for any window: rounds must not multiply them."""
+    r = random.Random(6)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for i in range(120):
+        w = list(base)
+        for p in r.sample(range(0, 200, 4), 9 if i % 3 else 2):
+            w[p] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = brute_sets(rows, 4)
+    up = jaccard_join.Unions(len(rows))
+    for a in sets:
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                up.join(a, b)
+    monkeypatch.setattr(jaccard_join, "REGION", 20)
+    held, write = [], jaccard_join.scratch.table
+
+    def table(df, name):
+        out = write(df, name)
+        if name == "members":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join.scratch, "table", table)
+    got = {g.doc_id: g.component_id for g in jaccard_join.link_documents(frame(spark, rows)).collect()}
+    assert got == {i: up.find(i) for i, _ in rows} and 1 < len(set(got.values())) < 120
+    assert len(held) > 1 and max(held) <= held[0]
+
+
 def test_jaccard_null_id(spark):
     got = jaccard_join.link_documents(frame(spark, [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e")])).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == [(2, 2), (2, 2), (None, None)]

@@ -297,7 +297,8 @@ def _split(src: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[Da
 
     A set goes to the region of its nearest pivot and to all whose distance is larger by no more than 2r, which
     by the triangle inequality brings together every pair within r. Pivots have then met all others and leave; so do regions whose
-    members are all connected. What is still large after DEPTH rounds is left as it is.
+    members are all connected. A region is split only if the copies that its windows make are fewer than those of
+    pairs of blocks, so rounds never add to the work; one that doesn't pay, or is still large after DEPTH rounds, is left as it is.
     """
     large = members.where("load > 1")
     if large.isEmpty():
@@ -311,27 +312,49 @@ def _split(src: DataFrame, members: DataFrame, n: int, percent: int) -> tuple[Da
         found = connected_components(stars)
         near = F.array_min(F.map_values("d")) + (2 * r + 1e-9)
         windows = F.map_keys(F.map_filter("d", lambda _, x: x <= near))
-        dealt = measured.where("NOT pivot").select(F.explode(windows).alias("k"), "region", "rep", "size", "fp")
-        dealt = dealt.select(F.xxhash64("region", "k").alias("region"), "rep", "size", "fp")
-        dealt = dealt.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        dealt = scratch.table(dealt, "dealt")
-        held = dealt.groupBy("region").agg(F.count("*").alias("m"), F.sum("size").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
-        held = held.where("low <> high").select("region", _load("m", "g").alias("load"))
-        dealt = scratch.table(dealt.join(held, "region").select(*members.columns), "members")
-        done, large = done.unionByName(dealt.where("load <= 1")), dealt.where("load > 1")
+        left = measured.where("NOT pivot").select(F.col("region").alias("parent"), "rep", "size", "fp", windows.alias("windows"))
+        left = left.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+        left = scratch.table(left, "left")
+        # what the regions of a round would hold is counted before any row is copied
+        held = _open(left.select("parent", F.explode("windows").alias("k"), "size", "label"), "parent", "k")
+        whole = _open(left, "parent").select("parent", F.col("load").alias("whole_load"), _copies("m", "load").alias("whole"))
+        plan = held.groupBy("parent").agg(F.sum(_copies("m", "load")).alias("split")).join(whole, "parent")
+        plan = scratch.table(plan.select("parent", "whole_load", (F.col("split") < F.col("whole")).alias("pays")), "plan")
+        stuck = left.join(plan.where("NOT pays"), "parent").withColumnsRenamed({"parent": "region", "whole_load": "load"})
+        dealt = left.join(plan.where("pays"), "parent").withColumn("k", F.explode("windows")).join(held, ["parent", "k"])
+        dealt = dealt.withColumn("region", F.xxhash64("parent", "k"))
+        both = stuck.select(*members.columns, F.lit(True).alias("stuck")).unionByName(dealt.select(*members.columns, F.lit(False).alias("stuck")))
+        both = scratch.table(both, "members")
+        done = done.unionByName(both.where("stuck OR load <= 1").drop("stuck"))
+        large = both.where("NOT stuck AND load > 1").drop("stuck")
         if large.isEmpty():
             break
     return stars, done.unionByName(large)
 
 
+def _open(rows: DataFrame, *keys: str) -> DataFrame:
+    """``m`` and ``load`` of the regions named by ``keys`` that have members not known to be connected."""
+    held = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.sum("size").alias("g"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return held.where("low <> high").select(*keys, "m", _load("m", "g").alias("load"))
+
+
+def _parts(load: str) -> Column:
+    """Blocks that a region is joined in."""
+    return F.when(F.col(load) <= 1, 1).otherwise(F.ceil(F.col(load) * 2)).cast("int")
+
+
+def _copies(m: str, load: str) -> Column:
+    """Rows that a region sends when it is joined in pairs of blocks."""
+    return F.col(m) * _parts(load)
+
+
 def _region_links(src: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links ``a, b`` that connect all that links inside the regions connect.
 
     A region is one task's work; one that windows couldn't part is joined in pairs of blocks of half that size.
     """
     kind = src.schema["doc_id"].dataType.simpleString()
-    parts = F.when(F.col("load") <= 1, 1).otherwise(F.ceil(F.col("load") * 2)).cast("int")
-    blocks = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    blocks = members.withColumn("parts", _parts("load")).withColumn("own", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = blocks.select("rep", "size", "fp", "label", "region", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
     full = blocks.join(_sets(src, members.select("rep"), n), ["rep", "size", "fp"])

@@ -237,6 +237,15 @@ def test_partitioned_results_and_csv(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/v", header=True).count() == 2
 
 
+def test_checklists_of_many_machines(spark, tmp_path):
+    rows = spark.range(4_000).selectExpr("lpad(cast(id % 1000 as string), 4, '0') AS machine_id", "2026 AS year", "1 AS month", "cast(500 * (1 + id % 2) as int) AS interval_hours", "cast(id / 2000 as int) AS row_no")
+    files.write_checklists(rows, f"{tmp_path}/c")
+    kept = spark.read.parquet(f"{tmp_path}/c")
+    assert kept.exceptAll(rows.select(*kept.columns)).count() == 0 and kept.count() == 4_000  # machines stay as they are written, leading noughts too
+    per = kept.withColumn("file", F.input_file_name()).groupBy("machine_id", "interval_hours").agg(F.countDistinct("file").alias("n"))
+    assert per.where("n > 1").count() == 0 and kept.select(F.input_file_name()).distinct().count() <= 8
+
+
 def test_validation(spark):
     rows = spark.createDataFrame([(10, "A", "CHECK", "d", "STOPPED"), (5, "A" * 65, None, "d", "X")], "task_no int, area string, action string, description string, machine_state string")
     good, bad = validate.validate_task_rows(rows)

@@ -125,9 +125,13 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def write_checklists(rows: DataFrame, path: str) -> None:
-    """Checklist rows in a folder per machine, year, month and interval; each folder is written by one task."""
-    keys = ["machine_id", "year", "month", "interval_hours"]
-    rows.repartition(*keys).sortWithinPartitions(*keys, "row_no").write.mode("overwrite").partitionBy(*keys).parquet(path)
+    """Checklist rows in a folder per year, month and interval, each checklist in one file, by machine and row.
+
+    Machines are a column and no folders, so that there are at most as many files in a folder as tasks that write, however many machines there are;
+    rows of a machine lie together, and Parquet's statistics tell where.
+    """
+    folders = ["year", "month", "interval_hours"]
+    rows.repartition("machine_id", *folders).sortWithinPartitions(*folders, "machine_id", "row_no").write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 def replace_chunk_index(chunks: DataFrame, path: str) -> None:

@@ -28,6 +28,16 @@ def test_numbers_equal_windows_with_nulls_and_empty_tables(spark):
     assert ranges.carried(df.where("false"), ["m"], "i", {"s": "h"}).count() == 0
 
 
+def test_page_numbers_are_packed(spark):
+    text = lambda m, n: "preventive maintenance" if (m, n) in {("a", 62), ("a", 127), ("a", 500), ("b", 64), ("c", 3_000), ("d", -1)} else "x"
+    numbers = [(m, n) for m in "abcd" for n in range(-3, 1_300)] + [("c", 3_000)]
+    rows = spark.createDataFrame([(m, n, text(m, n), None) for m, n in numbers], "manual_id string, page_no int, text string, tables array<array<array<string>>>")
+    got = sorted((x.manual_id, x.page_no) for x in pages.pm_candidate_pages(rows).collect())
+    assert got == sorted((m, n) for m, n in numbers if any(text(m, n + i) != "x" for i in (-2, -1, 0, 1)))
+    keys = pages.candidate_keys(rows.withColumn("text", F.lit("preventive maintenance")))
+    assert keys.count() > 5_000 and pages.packed_keys(keys).count() <= 4 * 24
+
+
 def big(spark, n=40_000):
     """A manual of n pages: an interval every 5,000 pages, a heading every 700, bullets everywhere."""
     page = F.col("id").cast("int") + 1

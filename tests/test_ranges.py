@@ -1,5 +1,6 @@
 """Running values and numbers over ranges, and manuals of very many pages: spread, with the rows of plain windows."""
 
+import pathlib
 import random
 
 from pyspark.sql import functions as F
@@ -86,3 +87,17 @@ def test_no_task_holds_a_giant_manual(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def made_since(spark, before=frozenset()):
+    """Kinds of written tables that are there now and weren't before."""
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return {p for p in pathlib.Path(folder).glob("upkeep-*/*")} - set(before)
+
+
+def test_extraction_leaves_its_merged_tasks_only(spark):
+    rows = spark.createDataFrame([("m", 1, "Every 500 hours: replace the main oil filter", [[["Interval", "Action", "Description"], ["500", "Check", "check the pump"], ["1000", "Clean", "clean the belt"]]])], "manual_id string, page_no int, text string, tables array<array<array<string>>>")
+    before = made_since(spark)
+    done = extract.extract_from_pages(rows)
+    assert {p.name.rsplit("-", 1)[0] for p in made_since(spark, before)} == {"merged-tasks"}
+    assert sorted((r.interval_hours, r.task_no) for r in done.collect()) == [(500, 10), (500, 20), (500, 30), (1000, 40), (1000, 50)]

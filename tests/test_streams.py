@@ -1,6 +1,7 @@
 """Streams against batch: any order of arrival, restarts, batches that run again, and buckets that become empty."""
 
 import itertools
+import pathlib
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,13 @@ def test_schedule_equals_the_batch_after_every_batch(spark, tmp_path):
         last = every.where("record is not null").select("machine_id", "record.*").groupBy("machine_id", "record_id").agg(F.max_by(F.struct("interval_hours", "status", "completed_at"), "revision").alias("r")).select("machine_id", "record_id", "r.*")
         want = due_schedule(machines, intervals, every.where("reading is not null").select("machine_id", "reading.*"), last)
         assert sorted_rows(tables.current(spark, target), *want.columns) == sorted_rows(want, *want.columns)
+
+
+def test_batches_leave_keyed_tables_only(spark, tmp_path):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(folder.glob("upkeep-*/*"))
+    for page in PAGES[:2]:
+        spark.createDataFrame([page], files.PAGES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    streams.stream_manuals(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", 1, buckets=2).awaitTermination()
+    assert tables.current(spark, f"{tmp_path}/out").count() == 2
+    assert set(folder.glob("upkeep-*/*")) <= before
